@@ -72,3 +72,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+class HashTable:
+    """An open-addressing table from 64-bit keys to rows of an array, built and read by numpy."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
+        self.shift, size = np.uint64(64 - bits), 1 << bits
+        self.keys, self.values, self.full = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=values.dtype), np.zeros(size, dtype=bool)
+        left, at = np.arange(len(keys)), self._slot(keys.astype(np.uint64))
+        keys = keys.astype(np.uint64)
+        while len(left):
+            free = np.flatnonzero(~self.full[at])
+            slots, first = np.unique(at[free], return_index=True)
+            put = left[free[first]]
+            self.keys[slots], self.values[slots], self.full[slots] = keys[put], values[put], True
+            rest = np.ones(len(left), dtype=bool)
+            rest[free[first]] = False
+            left, at = left[rest], (at[rest] + 1) % size
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, and which keys are there; the value of another key is 0."""
+        at = self._slot(keys)
+        full = self.full[at]
+        there = full & (self.keys[at] == keys)
+        out = np.where(there, self.values[at], self.values.dtype.type(0))
+        look = np.flatnonzero(full & ~there)
+        at = at[look]
+        while len(look):
+            at = (at + 1) % len(self.keys)
+            same = self.full[at] & (self.keys[at] == keys[look])
+            out[look[same]], there[look[same]] = self.values[at[same]], True
+            go = self.full[at] & ~same
+            look, at = look[go], at[go]
+        return out, there
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+    """Weights, the intercept last, by Newton's method on standardised columns."""
+    if not len(y) or y.min() == y.max():
+        rate = (float(y.sum()) + 0.5) / (len(y) + 1)
+        return np.concatenate([np.zeros(x.shape[1]), [np.log(rate / (1 - rate))]])
+    mean, scale = x.mean(0), x.std(0) + 1e-12
+    z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(z.shape[1])
+    penalty = np.full(len(w), ridge * len(y) ** 0.5)
+    penalty[-1] = 1e-9
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(w))
+        w = w - np.clip(np.linalg.solve(h, z.T @ (p - y) + penalty * w), -4, 4)
+    return np.concatenate([w[:-1] / scale, [w[-1] - float((w[:-1] * mean / scale).sum())]])
+
+
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of the key, so that the choice doesn't depend on the partitioning."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int((1 << 30) * most / n))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberframe.llm import sentencepiece_bpe
-from emberframe.llm.common import table
+from emberframe.llm import language_id, quality_classifier, sentencepiece_bpe, toxicity
+from emberframe.llm.common import fold, table
 
 #: The tokenizer that operators 2 and 10 use where no other is given.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,12 +20,43 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; rows of fold 0 of 5 and rows without id teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 5) == 0)
+    filters = language_id.learn(docs.filter("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with held_out, and the labelled ones that may be learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 4) == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label is not null").distinct()
+    return docs, docs.filter("not held_out").join(labels.filter(fold("doc_id", 4) != 2), "doc_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; rows of fold 2 of 4 and rows without id teach nothing."""
+    docs, known = _labelled(spark, sf_dir, "toxic")
+    found = toxicity.score(docs, toxicity.learn(known))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; rows of fold 2 of 4 and rows without id teach nothing."""
+    docs, known = _labelled(spark, sf_dir, "quality")
+    found = quality_classifier.score(docs, quality_classifier.learn(known))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
