@@ -135,3 +135,15 @@ def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import language_id, quality_classifier, sentencepiece_bpe, toxicity
+from emberframe.llm import decontamination, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filter
 from emberframe.llm.common import fold, table
 
 #: The tokenizer that operators 2 and 10 use where no other is given.
@@ -41,6 +41,38 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page, and its host's trust and distrust."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(docs)))
+    found = secrets.spans(docs, model)
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.RULES]
+    return found.select("doc_id", *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = found.withColumn("n_hit", decontamination.n_hit(F.col("places")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every document."""
+    found = quality_rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; rows of fold 2 of 4 and rows without id teach nothing."""
     docs, known = _labelled(spark, sf_dir, "quality")
@@ -56,6 +88,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_toxicity": op3_toxicity,
+    "op4_url_filter": op4_url_filter,
+    "op5_secrets": op5_secrets,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
