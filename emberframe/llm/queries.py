@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.llm import decontamination, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filter
-from emberframe.llm.common import fold, table
+from emberframe.llm.common import fold, hash_sample, table
 
 #: The tokenizer that operators 2 and 10 use where no other is given.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,16 +27,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with held_out, and the labelled ones that may be learned from."""
+#: Labelled rows that operators 3 and 9 learn from, at most. The labels are broadcast, so texts are not shuffled.
+TOXICITY_ROWS, QUALITY_ROWS = 1_000_000, quality_classifier.ROWS_MOST
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with held_out, and at most about ``most`` labelled ones that may be learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 4) == 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label is not null").distinct()
-    return docs, docs.filter("not held_out").join(labels.filter(fold("doc_id", 4) != 2), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label is not null").filter(fold("doc_id", 4) != 2).distinct()
+    return docs, docs.filter("not held_out").join(F.broadcast(hash_sample(labels, "doc_id", most)), "doc_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; rows of fold 2 of 4 and rows without id teach nothing."""
-    docs, known = _labelled(spark, sf_dir, "toxic")
+    docs, known = _labelled(spark, sf_dir, "toxic", TOXICITY_ROWS)
     found = toxicity.score(docs, toxicity.learn(known))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -75,7 +79,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; rows of fold 2 of 4 and rows without id teach nothing."""
-    docs, known = _labelled(spark, sf_dir, "quality")
+    docs, known = _labelled(spark, sf_dir, "quality", QUALITY_ROWS)
     found = quality_classifier.score(docs, quality_classifier.learn(known))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
