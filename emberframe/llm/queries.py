@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontamination, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filter
+from emberframe.llm import decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filter
 from emberframe.llm.common import fold, hash_sample, table
 
 #: The tokenizer that operators 2 and 10 use where no other is given.
@@ -64,6 +64,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links of every document."""
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality": op9_quality,
