@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, toxicity, url_filter
-from emberframe.llm.common import fold, hash_sample, table
+from emberframe.llm import decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
+from emberframe.llm.common import fold, hash_sample, scratch, table
 
 #: The tokenizer that operators 2 and 10 use where no other is given.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and n_tokens of every document, counted in flat token files written from all documents."""
+    return token_files.counts(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), scratch(spark, "tokens"))
+
+
 #: Labelled rows that operators 3 and 9 learn from, at most. The labels are broadcast, so texts are not shuffled.
 TOXICITY_ROWS, QUALITY_ROWS = 1_000_000, quality_classifier.ROWS_MOST
 
@@ -96,6 +101,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,

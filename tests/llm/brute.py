@@ -71,3 +71,44 @@ def url_parts(url: str | None, rules: dict[str, str]) -> tuple[str, str, str | N
     host = host.translate(LOWER)
     fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
     return host, path, max(fits, key=len, default=None)
+
+
+def jaccard(docs: list[tuple]) -> dict:
+    """doc_id: (class_id, n_links) by comparing all pairs of distinct texts that share a shingle; doc_ids must differ."""
+    texts: dict[tuple, list] = {}
+    out = {}
+    for i, t in docs:
+        w = tuple((t or "").lower().split())
+        if w:
+            texts.setdefault(w, []).append(i)
+        else:
+            out[i] = (i, 0)
+    sets = [{w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in texts]
+    places: dict[tuple, list[int]] = {}
+    for n, s in enumerate(sets):
+        for x in s:
+            places.setdefault(x, []).append(n)
+    pairs = {(a, b) for p in places.values() for k, a in enumerate(p) for b in p[k + 1 :]}
+    label, links = list(range(len(sets))), Counter()
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        c = len(sets[a] & sets[b])
+        if 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c):
+            links[a] += 1
+            links[b] += 1
+            label[top(a)] = top(b)
+    groups: dict[int, list] = {}
+    ids = list(texts.values())
+    for n in range(len(sets)):
+        groups.setdefault(top(n), []).append(n)
+    for members in groups.values():
+        least = min(i for n in members for i in ids[n])
+        for n in members:
+            for i in ids[n]:
+                out[i] = (least, links[n])
+    return out
