@@ -239,13 +239,16 @@ def _candidate_edges(classes: DataFrame) -> DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), -1)
         first = np.flatnonzero(pdf["own"] == pdf["x"])
         other = np.flatnonzero(pdf["own"] != pdf["x"])
-        if pdf["x"].iat[0] == pdf["y"].iat[0]:
-            i, j = surviving_pairs(sig, None)
-        else:
-            i, j = surviving_pairs(sig[first], sig[other])
-            i, j = first[i], other[j]
-        label = _smallest(len(pdf), i, j)
-        moved = np.flatnonzero(label != np.arange(len(pdf)))
+        i, j = surviving_pairs(sig[first], None)
+        label = _smallest(len(pdf), first[i], first[j])
+        known = np.arange(len(pdf))
+        if len(other):
+            # the tasks of each block by itself give the edges inside it: only those between its groups and the other's are new
+            k, m = surviving_pairs(sig[other], None)
+            known = _smallest(len(pdf), np.concatenate([first[i], other[k]]), np.concatenate([first[j], other[m]]))
+            k, m = surviving_pairs(sig[first], sig[other])
+            label = _smallest(len(pdf), known[first[k]], known[other[m]])
+        moved = np.flatnonzero((label != np.arange(len(pdf))) & (known == np.arange(len(pdf))))
         return pd.DataFrame({"a": pdf["key"].to_numpy()[label[moved]], "b": pdf["key"].to_numpy()[moved]})
 
     return units.groupBy("bucket", "x", "y").applyInPandas(prune, "a binary, b binary")
@@ -290,7 +293,8 @@ def _verified(docs: DataFrame, text: str, clusters: DataFrame) -> DataFrame:
     members = clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))
     # copies share their key and shingles: one of them is enough
-    own = written(members.join(sets, "key").groupBy("key", "cluster").agg(F.first("shingles").alias("shingles")), "jaccard-shingles")
+    one = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
+    own = written(members.join(one, "key"), "jaccard-shingles")
     units = _blocks(own, "cluster", size, BLOCK)
 
     def verify(pdf):
