@@ -17,11 +17,16 @@ from emberframe.llm.queries import piece_model
 MIN_LANGUAGE_SCORE = 0.3
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with the number of each row, under a name that docs doesn't have."""
-    name = "_row_of_docs"
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to be none of the columns'."""
     while name in docs.columns:
         name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the number of each row, and that column's name."""
+    name = _unused(docs, "_row_of_docs")
     return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
@@ -52,12 +57,13 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All rows stay; secrets in their texts give way to a mark, and n_chars follows."""
     own, row = _numbered(docs)
     model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(docs)))
-    found = secrets.spans(own, model, keep=(row,)).filter(F.size("spans") > 0).select(F.col(row).alias("_at"), F.col("spans").alias("_spans"))
-    joined = own.join(found, F.col(row) == F.col("_at"), "left")
-    text = F.when(F.col("_spans").isNotNull(), secrets.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    spans = _unused(docs, "_spans")
+    found = secrets.spans(own, model, keep=(row,)).filter(F.size("spans") > 0).select(row, F.col("spans").alias(spans))
+    joined = own.join(found, row, "left")
+    text = F.when(F.col(spans).isNotNull(), secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

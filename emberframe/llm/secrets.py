@@ -31,7 +31,7 @@ RULES = {
 KINDS = ["assign", "access", "hex", "markov"]
 #: Runs that the models judge, their alphabet (other characters are one more symbol), and the least ratio per transition.
 RUN, ALPHABET = r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-THRESHOLD, IDENTIFIER_DOCS, RANDOM_STRINGS = 0.5, 2_000, 4_000
+THRESHOLD, IDENTIFIER_DOCS, RANDOM_STRINGS = 1.0, 2_000, 4_000
 SYMBOLS = len(ALPHABET) + 1
 
 
