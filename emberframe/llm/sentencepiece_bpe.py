@@ -24,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberframe.llm.common import runs
+
 SPACE = "▁"
 #: Words in a worker's cache, and the length up to which a word is encoded together with others.
-CACHE_WORDS, BATCH_LEN = 700_000, 40
+CACHE_WORDS, BATCH_LEN = 500_000, 40
+#: Characters whose ids a worker holds at once.
+PART_CHARS = 1 << 22
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PAIR_SLOTS_LOG2 = 21
 
@@ -410,15 +414,16 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", *, add_begin: bool = True, add_end: bool = True) -> DataFrame:
-    """docs with ids (array of int) and decoded (string); any columns of those names give way."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", *, add_begin: bool = True, add_end: bool = True, decoded: bool = True) -> DataFrame:
+    """docs with ids (array of int) and, if wanted, decoded (string); any columns of those names give way."""
     keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def add(pdf, ids, texts):
-        return pdf.assign(ids=[i.astype(np.int32) for i in ids], decoded=texts)
+        out = pdf.assign(ids=[i.astype(np.int32) for i in ids])
+        return out.assign(decoded=texts) if decoded else out
 
-    return _mapped(docs.select(*keep), model_path, text, add_begin, add_end, add, schema)
+    return _mapped(docs.select(*keep), model_path, text, add_begin, add_end, add, schema, decoded)
 
 
 def digests(docs: DataFrame, model_path: str, text: str = "text", *, id_column: str = "doc_id", add_begin: bool = True, add_end: bool = True) -> DataFrame:
@@ -433,16 +438,19 @@ def digests(docs: DataFrame, model_path: str, text: str = "text", *, id_column:
     return _mapped(docs.select(id_column, text), model_path, text, add_begin, add_end, add, schema)
 
 
-def _mapped(docs: DataFrame, model_path: str, text: str, add_begin: bool, add_end: bool, add, schema) -> DataFrame:
+def _mapped(docs: DataFrame, model_path: str, text: str, add_begin: bool, add_end: bool, add, schema, decoded: bool = True) -> DataFrame:
     # The tables' size is that of the vocabulary, a few MB.
     model = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
     def run(batches):
         encoder = Encoder(model.value)
         first, last = [model.value.bos] * add_begin, [model.value.eos] * add_end
+        begin, end = np.array(first, dtype=np.uint32), np.array(last, dtype=np.uint32)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf[text]]
-            ids = [np.concatenate([np.array(first, dtype=np.uint32), i, np.array(last, dtype=np.uint32)]) for i in encoder.encode(texts)]
-            yield add(pdf, ids, [encoder.decode(i) for i in ids])
+            texts = [t if isinstance(t, str) else "" for t in pdf[text]]
+            # a few million characters at a time, whatever the batch holds
+            for a, b in runs(texts, PART_CHARS):
+                ids = [np.concatenate([begin, i, end]) for i in encoder.encode(texts[a:b])]
+                yield add(pdf.iloc[a:b], ids, [encoder.decode(i) for i in ids] if decoded else None)
 
     return docs.withColumn(text, F.col(text).cast("string")).mapInPandas(run, schema)
