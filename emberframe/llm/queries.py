@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm import decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
 from emberframe.llm.common import fold, hash_sample, scratch, table
+from emberframe.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 #: The tokenizer that operators 2 and 10 use where no other is given.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -52,7 +53,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every page, and its host's trust and distrust."""
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    found = url_filter.judge(table(spark, sf_dir, "pages"))
+    return found.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +113,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_sentencepiece": op10_sentencepiece,
 }
-
-ORACLE_SQL: dict[str, str] = {}
