@@ -8,14 +8,12 @@ import random
 import numpy as np
 import pytest
 
-pytest.importorskip("emberframe.llm")
+from pyspark.sql import functions as F
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from emberframe.llm import decontamination, jaccard_join, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter  # noqa: E402
-from emberframe.llm.components import components  # noqa: E402
-from emberframe.llm.language_id import BitSlicedFilters, _grams  # noqa: E402
-from emberframe.llm.queries import piece_model  # noqa: E402
+from emberframe.llm import decontamination, jaccard_join, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
+from emberframe.llm.components import components
+from emberframe.llm.language_id import BitSlicedFilters, _grams
+from emberframe.llm.queries import piece_model
 
 
 def test_bitsliced_filters_have_no_false_negatives():

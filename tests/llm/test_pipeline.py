@@ -1,11 +1,8 @@
 from __future__ import annotations
 
-import pytest
-
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from tests.llm import brute  # noqa: E402
-from tests.llm.test_queries import odd_documents, tables  # noqa: E402
+import corpus_pipeline
+from tests.llm import brute
+from tests.llm.test_queries import odd_documents, tables
 
 
 def test_stages_do_what_they_say(spark, tiny):

@@ -8,12 +8,10 @@ import zlib
 
 import pytest
 
-pytest.importorskip("emberframe.llm.queries")
-
-from emberframe.llm import jaccard_join as J  # noqa: E402
-from emberframe.llm.queries import ORACLE_SQL, PIECE_MODEL, QUERIES, piece_model  # noqa: E402
-from emberframe.llm.url_filter import RULES  # noqa: E402
-from tests.llm import brute  # noqa: E402
+from emberframe.llm import jaccard_join as J
+from emberframe.llm.queries import ORACLE_SQL, PIECE_MODEL, QUERIES, piece_model
+from emberframe.llm.url_filter import RULES
+from tests.llm import brute
 
 PROSE = "the quick brown fox jumps over the lazy dog while seventeen small boats drift along a silent river under the pale evening moon and nobody on the shore says a single word about it at all tonight"
 FREMD = "der schnelle braune fuchs springt über den faulen hund während siebzehn kleine boote auf einem stillen fluss unter dem blassen mond dahin treiben und niemand am ufer sagt ein wort"
