@@ -71,6 +71,12 @@ def msd(tracks: DataFrame, segments: DataFrame | None = None, *, max_lag: int |
     return found.withColumn("time", F.col("lag") * float(dt))
 
 
+def diffusion_per_track(tracks: DataFrame, max_lag: int, keys: Sequence[str] = TRACK, *, low: int = 1) -> DataFrame:
+    """keys, diffusion: a sixth of the slope of each track's (or segment's) mean squared displacement over lags from low to max_lag."""
+    curves = track_msd(tracks, max_lag, keys).filter(F.col("lag") >= low)
+    return curves.groupBy(*keys).agg((F.regr_slope("msd", F.col("lag").cast("double")) / 6.0).alias("diffusion"))
+
+
 def diffusive_window(curve: DataFrame, *, window_frac: float = 0.25, stride_frac: float = 0.05) -> DataFrame:
     """One row (first, last, onset, alpha, r2): the window of log msd over log lag whose slope is nearest to 1, weighed by its fit; the first of equals. curve: lag, msd."""
     valid = curve.filter("lag > 0 and msd > 0")

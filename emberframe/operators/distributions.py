@@ -49,6 +49,20 @@ def rdf(centers: DataFrame, targets: DataFrame, frames: DataFrame, *, rmax: floa
     return curve.withColumn("n", F.coalesce(F.col("density") / F.col("frames"), F.lit(0.0)) * F.sum(F.col("g") * shell).over(so_far)).select("bin", "r", "g", "n")
 
 
+def rdf_blocks(centers: DataFrame, targets: DataFrame, frames: DataFrame, block: int, *, rmax: float, dr: float = 0.02, box: G.Box = G.BOX) -> DataFrame:
+    """bin, r, g, stderr, n_blocks: mean and standard error of the distributions of blocks of frames; one join for all blocks."""
+    n = len(G.edges(rmax, dr)) - 1
+    number = F.floor(F.col(FRAME) / block).cast("int").alias("block")
+    near = pairs(centers, targets, frames, box=box, carry=()).filter("a_idx <> b_idx")
+    counts = near.select(number, G.bin_of(F.col("d"), 0.0, n * dr, n).alias("bin")).filter("bin is not null").groupBy("block", "bin").agg(F.count("*").alias("hits"))
+    c, t = centers.groupBy(FRAME).agg(F.count("*").alias("nc")), targets.groupBy(FRAME).agg(F.count("*").alias("nt"))
+    norms = c.join(t, FRAME).join(frames.select(FRAME, *box.columns), FRAME).groupBy(number).agg(F.sum(F.col("nc") * F.col("nt") / box.volume()).alias("norm"))
+    spine = norms.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    r = (F.col("bin") + 0.5) * dr
+    each = spine.join(counts, ["block", "bin"], "left").withColumn("g", F.coalesce("hits", F.lit(0)) / (F.col("norm") * (4.0 * math.pi * r * r * dr)))
+    return each.groupBy("bin").agg(F.avg("g").alias("g"), (F.stddev_samp("g") / F.sqrt(F.count("*"))).alias("stderr"), F.count("*").alias("n_blocks")).select("bin", r.alias("r"), "g", "stderr", "n_blocks")
+
+
 def rdf_shells(curve: DataFrame, *, peak_min_g: float = 0.5, smooth_sigma: float = 0.0) -> DataFrame:
     """shell, peak, inner, outer and, if the curve has n, cn (up to outer): peaks of g beyond 0.5, with the lowest place between neighbours as border; the last border is the last r."""
     by = W.orderBy("bin")  # a row per bin

@@ -144,12 +144,11 @@ def hop_species_distances(hops: DataFrame, atoms: DataFrame, mols: DataFrame, fr
 
 def bond_events(bonds: DataFrame, frames: DataFrame, atoms: DataFrame | None = None, stride: int = 1) -> DataFrame:
     """frame_id, event (formed or broken), i, j: changes from one sampled frame to the next, at the later one. With atoms, the elements of both."""
+    # frames are numbered without gaps, so the sampled frame before or after is stride away
     at = frames.select(FRAME).filter(F.col(FRAME) % stride == 0)
-    # one row per frame id: frames of all trajectories are ordered by one narrow window
-    nxt = at.withColumn("next", F.lead(FRAME).over(W.orderBy(FRAME))).withColumn("before", F.lag(FRAME).over(W.orderBy(FRAME)))
-    own = bonds.select(FRAME, "i", "j").join(nxt, FRAME)
-    formed = own.filter("before is not null").join(bonds.select(F.col(FRAME).alias("before"), "i", "j"), ["before", "i", "j"], "left_anti").select(FRAME, F.lit("formed").alias("event"), "i", "j")
-    broken = own.filter("next is not null").join(bonds.select(F.col(FRAME).alias("next"), "i", "j"), ["next", "i", "j"], "left_anti").select(F.col("next").alias(FRAME), F.lit("broken").alias("event"), "i", "j")
+    own = bonds.select(FRAME, "i", "j").join(at, FRAME, "left_semi").withColumn("before", F.col(FRAME) - stride).withColumn("next", F.col(FRAME) + stride)
+    formed = own.join(at.select(F.col(FRAME).alias("before")), "before", "left_semi").join(bonds.select(F.col(FRAME).alias("before"), "i", "j"), ["before", "i", "j"], "left_anti").select(FRAME, F.lit("formed").alias("event"), "i", "j")
+    broken = own.join(at.select(F.col(FRAME).alias("next")), "next", "left_semi").join(bonds.select(F.col(FRAME).alias("next"), "i", "j"), ["next", "i", "j"], "left_anti").select(F.col("next").alias(FRAME), F.lit("broken").alias("event"), "i", "j")
     out = formed.unionByName(broken)
     if atoms is None:
         return out

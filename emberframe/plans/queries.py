@@ -211,6 +211,18 @@ def rdf_selector(spark, sf_dir):
     return D.rdf(centers, t.of("O"), t.frames, rmax=5.0, dr=0.25).select("bin", _r("r").alias("r"), _r("g").alias("g"))
 
 
+@query(
+    f"""WITH {V.SQL_A}, {V.sql_pairs('pp', "a.element = 'O'", "b.element = 'H'", 'a.atom_idx <> b.atom_idx')},
+h AS (SELECT CAST(floor(frame_id / 100.0) AS INTEGER) AS block, least(CAST(floor(d / 25e-2) AS INTEGER), 19) AS bin, count(*) AS hits FROM pp WHERE d <= 5e0 GROUP BY ALL),
+nm AS (SELECT CAST(floor(frame_id / 100.0) AS INTEGER) AS block, sum(7 * 14 / (l * l * l)) AS norm FROM fr GROUP BY 1),
+gg AS (SELECT nm.block, CAST(b AS INTEGER) AS bin, coalesce(hits, 0) / (norm * (4e0 * {math.pi!r}e0 * ((b + 0.5e0) * 25e-2) * ((b + 0.5e0) * 25e-2) * 25e-2)) AS g FROM nm CROSS JOIN range(20) AS t(b) LEFT JOIN h ON h.block = nm.block AND h.bin = t.b)
+SELECT bin, round((bin + 0.5e0) * 25e-2, 6) AS r, round(avg(g), 6) AS g, round(stddev_samp(g) / sqrt(count(*)), 6) AS stderr, count(*) AS n_blocks FROM gg GROUP BY bin"""
+)
+def rdf_block_errors(spark, sf_dir):
+    t = _A(spark, sf_dir)
+    return D.rdf_blocks(t.of("O"), t.of("H"), t.frames, 100, rmax=5.0, dr=0.25).select("bin", *[_r(c).alias(c) for c in ("r", "g", "stderr")], "n_blocks")
+
+
 _CURVE = _rdf_sql("O", "H", 5.0, 0.1, True)
 
 
@@ -587,6 +599,11 @@ def diffusion_coefficient(spark, sf_dir):
     return B.slope_over_six(curve, low=2).select(_r("diffusion").alias("diffusion"))
 
 
+@query(f"WITH {_DISP}, m AS (SELECT track, lag, avg(d2) AS msd FROM dp GROUP BY ALL) SELECT track, round(regr_slope(msd, CAST(lag AS DOUBLE)) / 6e0, 3) AS diffusion FROM m GROUP BY track")
+def diffusion_per_track(spark, sf_dir):
+    return C.diffusion_per_track(_tracks(spark, sf_dir), 10).select("track", _r("diffusion", 3).alias("diffusion"))
+
+
 @query(
     f"WITH {_DISP}, m AS (SELECT lag, avg(d2) / 1e6 AS msd, row_number() OVER (ORDER BY lag) - 1 AS k FROM dp GROUP BY lag), w AS (SELECT s, regr_slope(ln(msd), ln(CAST(lag AS DOUBLE))) AS alpha, regr_r2(ln(msd), ln(CAST(lag AS DOUBLE))) AS r2, min(lag) AS first, max(lag) AS last FROM m JOIN range(7) AS t(s) ON k >= s AND k < s + 4 GROUP BY s) "
     "SELECT first, last, first AS onset, round(alpha, 6) AS alpha, round(r2, 6) AS r2 FROM w ORDER BY abs(alpha - 1) / greatest(r2, 1e-6), s LIMIT 1"

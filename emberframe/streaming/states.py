@@ -61,3 +61,8 @@ def counts(states: DataFrame, window: str = "10 minutes", *, delay: str = "1 hou
     from pyspark.sql import functions as F
 
     return states.withWatermark("t", delay).groupBy(F.window("t", window).alias("w"), "state").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "state", "n")
+
+
+def append(results: DataFrame, path: str, checkpoint: str):
+    """Starts a query that adds a stream's per-step results to Parquet below path, each step once."""
+    return results.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
