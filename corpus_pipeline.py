@@ -14,7 +14,7 @@ from emberframe.llm.common import table, written
 from emberframe.llm.queries import piece_model
 
 #: The least share of a text's n-grams that its language must know.
-MIN_LANGUAGE_SCORE = 0.3
+MIN_LANGUAGE_SCORE = 0.2
 
 
 def _unused(docs: DataFrame, name: str) -> str:
