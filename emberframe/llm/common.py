@@ -39,6 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker gets at once; texts may be long, and a worker holds a batch in several forms.
+BATCH_ROWS = 1_000
+
+
+def by_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInPandas in batches of BATCH_ROWS rows at most. Spark knows this bound only as a setting of the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInPandas(function, schema)
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

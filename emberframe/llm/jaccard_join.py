@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import mix, runs, written
+from emberframe.llm.common import by_batches, mix, runs, written
 from emberframe.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -210,7 +210,7 @@ def _signed(docs: DataFrame, text: str, id_column: str) -> DataFrame:
                 yield pd.DataFrame({"row": pdf["row"].iloc[a:b], "id": pdf["id"].iloc[a:b], "key": own, "sig": out})
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return numbered.mapInPandas(sign, "row long, id long, key binary, sig binary")
+    return by_batches(numbered, sign, "row long, id long, key binary, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                 h = band_hashes(np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), -1))
                 yield pd.DataFrame({"bucket": h.view(np.int64).ravel(), "key": np.repeat(pdf["key"].to_numpy(), BANDS)})
 
-    return classes.select("key", "sig").mapInPandas(spread, "bucket long, key binary")
+    return by_batches(classes.select("key", "sig"), spread, "bucket long, key binary")
 
 
 def _candidate_edges(classes: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _verified(docs: DataFrame, text: str, clusters: DataFrame) -> DataFrame:
                     take = np.flatnonzero(maybe)
                     yield pd.DataFrame({"key": [own[k] for k in take], "shingles": [np.unique(hashes[cut[k] : cut[k + 1]]).tobytes() for k in take]})
 
-    sets = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(gather, "key binary, shingles binary")
+    sets = by_batches(docs.select(F.col(text).cast("string").alias("text")), gather, "key binary, shingles binary")
     members = clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
     size = members.groupBy("cluster").agg(F.count("*").alias("n"))
     # copies share their key and shingles: one of them is enough

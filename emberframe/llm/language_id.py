@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import mix, runs
+from emberframe.llm.common import by_batches, mix, runs
 
 UND = "und"
 #: The order of the n-grams; the least share of a language's n-grams; filter bits per n-gram, and hash functions.
@@ -120,12 +120,12 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", *, order: int
         for pdf in batches:
             for name, texts in pdf.groupby("lang")["text"]:
                 texts = list(texts)
-                for a, b in runs(texts, 1 << 22):
+                for a, b in runs(texts):
                     found, n = np.unique(_grams(texts[a:b], order)[0], return_counts=True)
                     yield pd.DataFrame({"lang": name, "gram": found.view(np.int64), "n": n})
 
     rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and text != '' and lang is not null")
-    counts = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = by_batches(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("n", F.col("n")).persist()
     try:
         total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -152,4 +152,4 @@ def predict(docs: DataFrame, filters: BitSlicedFilters, text: str = "text") -> D
             yield pdf.assign(lang_pred=names, score=scores)
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep).mapInPandas(run, schema)
+    return by_batches(docs.select(*keep), run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import hash_sample, mix, runs
+from emberframe.llm.common import by_batches, hash_sample, mix, runs
 
 LOG2, ROWS_SHARD, ROWS_MOST = 18, 2_000, 16_000
 #: Of the updates: learning rate, its offset, and the two penalties; passes over a shard.
@@ -135,4 +135,4 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
         for pdf in batches:
             yield pdf.assign(score=scores([t if isinstance(t, str) else None for t in pdf[text]], held.value))
 
-    return docs.select(*keep).mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
+    return by_batches(docs.select(*keep), run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))

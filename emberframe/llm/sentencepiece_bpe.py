@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import runs
+from emberframe.llm.common import by_batches, runs
 
 SPACE = "▁"
 #: Words in a worker's cache, and the length up to which a word is encoded together with others.
@@ -453,4 +453,4 @@ def _mapped(docs: DataFrame, model_path: str, text: str, add_begin: bool, add_en
                 ids = [np.concatenate([begin, i, end]) for i in encoder.encode(texts[a:b])]
                 yield add(pdf.iloc[a:b], ids, [encoder.decode(i) for i in ids] if decoded else None)
 
-    return docs.withColumn(text, F.col(text).cast("string")).mapInPandas(run, schema)
+    return by_batches(docs.withColumn(text, F.col(text).cast("string")), run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberframe.llm.common import by_batches
 from emberframe.llm.sentencepiece_bpe import Encoder, PieceModel
 
 #: Tokens of a block, and bytes of a token.
@@ -45,7 +46,7 @@ def write(docs: DataFrame, model_path: str, path: str, text: str = "text") -> in
             yield pd.DataFrame({"value": [ids.astype(f"<u{WIDTH}").tobytes() for ids in encoder.encode([t if isinstance(t, str) else None for t in pdf["text"]])]})
 
     separator = model.eos.to_bytes(WIDTH, "little").decode("latin-1")
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(encode, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows = by_batches(docs.select(F.col(text).cast("string").alias("text")), encode, "value binary").select(F.col("value").cast("string").alias("value"))
     rows.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 0).option("compression", "none").text(path)
     return model.eos
 
@@ -96,9 +97,9 @@ def blocks(spark: SparkSession, path: str, separator: int, *, block_tokens: int
     some = files.select("path").head()
     if some is None or _local(some["path"]) is not None:
         spread = spark.sparkContext.defaultParallelism * 4
-        return cut.repartition(spread, "file", "block").mapInPandas(by_range, schema)
+        return by_batches(cut.repartition(spread, "file", "block"), by_range, schema)
     data = cut.join(files.select(F.col("path").alias("file"), "content"), "file").select("file", "block", "at", F.expr(f"substring(content, cast(at as int) + 1, {size})").alias("data"))
-    return data.mapInPandas(whole, schema)
+    return by_batches(data, whole, schema)
 
 
 def scan(spark: SparkSession, path: str, separator: int, **options) -> DataFrame:

@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import HashTable, hash_sample, logistic_fit, runs
+from emberframe.llm.common import by_batches, hash_sample, HashTable, logistic_fit, runs
 
 ORDER, SHARED, BITS = 6, 3, 10
 #: Values of characters: a hash below MOD; a place before a word; the end of a word.
 MOD, BEFORE, END = 1021, 1022, 1023
 MIN_SHARE, CALIBRATION_ROWS = 1e-6, 20_000
+#: N-grams that a worker gathers before it hands them on.
+HELD_GRAMS = 2_000_000
 
 
 @cache
@@ -187,18 +189,25 @@ def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_colum
     part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(4))
 
     def count(batches):
+        held: dict[int, list] = {0: [], 1: []}
+
+        def merged():
+            for value, found in held.items():
+                if found:
+                    keys, n = _sums(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]).astype(float))
+                    held[value] = []
+                    yield pd.DataFrame({"gram": keys.view(np.int64), "toxic": (n if value else 0 * n).astype(np.int64), "ordinary": (0 * n if value else n).astype(np.int64)})
+
         for pdf in batches:
-            held = {0: [], 1: []}
             for value, texts in pdf.groupby("label")["text"]:
                 texts = [t for t in texts if t]
                 for a, b in runs(texts):
                     held[value].append(np.unique(_keys(texts[a:b])[0], return_counts=True))
-            for value, found in held.items():
-                if found:
-                    keys, n = _sums(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]).astype(float))
-                    yield pd.DataFrame({"gram": keys.view(np.int64), "toxic": (n if value else 0 * n).astype(np.int64), "ordinary": (0 * n if value else n).astype(np.int64)})
+            if sum(len(k) for found in held.values() for k, _ in found) > HELD_GRAMS:
+                yield from merged()
+        yield from merged()
 
-    counts = rows.filter(part != 3).mapInPandas(count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
+    counts = by_batches(rows.filter(part != 3), count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
     try:
         toxic, ordinary = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("ordinary"), F.lit(0))).first()
         # a gram counts by its share of either class, so that a small class keeps its own
@@ -213,7 +222,7 @@ def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_colum
             x = held.value.features([t if isinstance(t, str) else None for t in pdf["text"]]) if held.value else np.zeros((len(pdf), 4))
             yield pd.DataFrame({**{f"x{k}": x[:, k] for k in range(4)}, "label": pdf["label"]})
 
-    seen = hash_sample(rows.filter(part == 3), "id", calibration_rows).mapInPandas(measure, "x0 double, x1 double, x2 double, x3 double, label int").toPandas()
+    seen = by_batches(hash_sample(rows.filter(part == 3), "id", calibration_rows), measure, "x0 double, x1 double, x2 double, x3 double, label int").toPandas()
     return Model(ratio, logistic_fit(seen[["x0", "x1", "x2", "x3"]].to_numpy(float), seen["label"].to_numpy(float)))
 
 
@@ -226,4 +235,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for pdf in batches:
             yield pdf.assign(score=held.value.scores([t if isinstance(t, str) else None for t in pdf[text]]))
 
-    return docs.select(*keep).mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
+    return by_batches(docs.select(*keep), run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
