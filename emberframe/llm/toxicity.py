@@ -6,8 +6,8 @@ together, so a rare expression is smoothed through counts that both share and te
 compares the two log-likelihoods of each word, normalised by length: the mean over all words and the largest single words;
 a logistic curve, fitted on labelled rows that the models have not seen, turns them into a probability.
 
-Counting covers all labelled rows. Only n-grams with at least ``min_share`` of all n-grams are gathered, so at most
-1/min_share, which bounds the driver's and the broadcast's size. The curve is fitted on at most ``CALIBRATION_ROWS`` rows.
+Counting covers all labelled rows, and every n-gram counted is gathered, however rare: the driver's and the broadcast's size
+grow with the number of distinct n-grams. Only the curve is fitted on a sample, at most ``CALIBRATION_ROWS`` rows.
 
 Null and empty texts and texts without a word score as a text whose words tell nothing. Without labelled rows of both
 classes every text gets the share of toxic rows, smoothed. Long texts are taken whole.
@@ -27,7 +27,7 @@ from emberframe.llm.common import by_batches, hash_sample, HashTable, logistic_f
 ORDER, SHARED, BITS = 6, 3, 10
 #: Values of characters: a hash below MOD; a place before a word; the end of a word.
 MOD, BEFORE, END = 1021, 1022, 1023
-MIN_SHARE, CALIBRATION_ROWS = 1e-6, 20_000
+CALIBRATION_ROWS = 20_000
 #: N-grams that a worker gathers before it hands them on.
 HELD_GRAMS = 2_000_000
 
@@ -181,7 +181,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
-def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_column: str = "doc_id", min_share: float = MIN_SHARE, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_column: str = "doc_id", calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """A model from labelled rows (1 toxic, 0 ordinary; others are left out). Three rows in four, by a hash of the id, teach the models, the others the curve."""
     import pandas as pd
 
@@ -207,14 +207,10 @@ def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_colum
                 yield from merged()
         yield from merged()
 
-    counts = by_batches(rows.filter(part != 3), count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
-    try:
-        toxic, ordinary = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("ordinary"), F.lit(0))).first()
-        # a gram counts by its share of either class, so that a small class keeps its own
-        found = counts.filter((F.col("toxic") >= max(1.0, min_share * toxic)) | (F.col("ordinary") >= max(2.0, min_share * ordinary))).toPandas()
-    finally:
-        counts.unpersist()
-    ratio = LikelihoodRatio(found["gram"].to_numpy().view(np.uint64), found["toxic"].to_numpy(), found["ordinary"].to_numpy()) if toxic and ordinary else None
+    counts = by_batches(rows.filter(part != 3), count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = counts.toArrow()
+    grams, toxic, ordinary = (found[c].to_numpy() for c in ("gram", "toxic", "ordinary"))
+    ratio = LikelihoodRatio(grams.view(np.uint64), toxic, ordinary) if toxic.any() and ordinary.any() else None
     held = rows.sparkSession.sparkContext.broadcast(ratio)
 
     def measure(batches):

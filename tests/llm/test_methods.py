@@ -86,6 +86,14 @@ def test_toxic_words_raise_the_score(spark):
     assert s[0] > 0.5 > s[1] and s[2] == s[3]
 
 
+def test_every_ngram_is_kept(spark):
+    data = [(i, "river " * 400_000 + f"quixotic{i}", int(i > 3)) for i in range(8)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, label int")
+    taught = [r["text"] for r in rows.filter("pmod(xxhash64(cast(doc_id as string)), 4) != 3").collect()]
+    grams = np.unique(toxicity._keys(taught)[0])
+    assert toxicity.learn(rows).ratio.tables[toxicity.ORDER].find(grams)[1].all()
+
+
 def test_classifier_features_ignore_length_and_learn():
     row, bucket, value = quality_classifier.features(["a b a", "a b a a b a", "x"])
     assert np.allclose(np.bincount(row, value**2), 1)
