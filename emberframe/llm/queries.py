@@ -33,20 +33,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.counts(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), scratch(spark, "tokens"))
 
 
-#: Labelled rows that operators 3 and 9 learn from, at most. The labels are broadcast, so texts are not shuffled.
-TOXICITY_ROWS, QUALITY_ROWS = 1_000_000, quality_classifier.ROWS_MOST
+#: Labelled rows that operator 9 learns from, at most; operator 3 counts all. Up to BROADCAST_LABELS labels are broadcast, so
+#: that texts are not shuffled; more are joined by shuffling.
+QUALITY_ROWS, BROADCAST_LABELS = quality_classifier.ROWS_MOST, 1_000_000
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with held_out, and at most about ``most`` labelled ones that may be learned from."""
+def _labelled(spark: SparkSession, sf_dir: str, label: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents with held_out, and the labelled ones that may be learned from, at most about ``most`` if given."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label is not null").filter(fold("doc_id", 4) != 2).distinct()
-    return docs, docs.filter("not held_out").join(F.broadcast(hash_sample(labels, "doc_id", most)), "doc_id")
+    if most is not None:
+        labels = hash_sample(labels, "doc_id", most)
+    few = (labels.count() if most is None else most) <= BROADCAST_LABELS
+    return docs, docs.filter("not held_out").join(labels.hint("broadcast" if few else "merge"), "doc_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; rows of fold 2 of 4 and rows without id teach nothing."""
-    docs, known = _labelled(spark, sf_dir, "toxic", TOXICITY_ROWS)
+    docs, known = _labelled(spark, sf_dir, "toxic")
     found = toxicity.score(docs, toxicity.learn(known))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -9,6 +9,7 @@ import zlib
 import pytest
 
 from emberframe.llm import jaccard_join as J
+from emberframe.llm import queries as Q
 from emberframe.llm.queries import ORACLE_SQL, PIECE_MODEL, QUERIES, piece_model
 from emberframe.llm.url_filter import RULES
 from tests.llm import brute
@@ -152,6 +153,18 @@ def test_classifiers_on_held_out_rows(spark, tiny, name, label, cut, least):
     assert sum(r["predicted"] == known[r["doc_id"]] for r in held) >= least * len(held)
 
 
+def test_toxicity_learns_from_all_labels(spark, tiny, monkeypatch):
+    sf = tiny.replace("sf0.001", "sf0.01")
+    expected = {i for i, x in read(spark, sf, "labels", "doc_id", "toxic") if x is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    learn, plain = Q.toxicity.learn, got(spark, "op3_toxicity", sf, "doc_id", "score")
+    seen = []
+    monkeypatch.setattr(Q.toxicity, "learn", lambda rows: seen.append([r["doc_id"] for r in rows.collect()]) or learn(rows))
+    monkeypatch.setattr(Q, "TOXICITY_ROWS", 20, raising=False)
+    monkeypatch.setattr(Q, "BROADCAST_LABELS", 20, raising=False)
+    assert dict(got(spark, "op3_toxicity", sf, "doc_id", "score")) == pytest.approx(dict(plain))
+    assert sorted(seen[0]) == sorted(expected) and len(expected) > 100
+
+
 def test_large_groups_go_through_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 4)
     rng = random.Random(4)
