@@ -68,9 +68,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids, begin and end included."""
-    found = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), piece_model(), decoded=False)
-    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens, ids, begin and end included, and the text decoded from them."""
+    found = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), piece_model())
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

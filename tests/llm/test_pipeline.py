@@ -32,6 +32,15 @@ def test_stages_do_what_they_say(spark, tiny):
     assert all(r["n_tokens"] == len(r["ids"]) and r["ids"][0] == 1 and r["ids"][-1] == 2 for r in tokens)
 
 
+def test_last_stage_decodes(spark, tiny):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.piece_model())
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(50)
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, tiny).collect()
+    assert len(found) == 50 and all(r["decoded"] == library.decode(list(r["ids"])) for r in found)
+
+
 def test_odd_and_empty_documents(spark, tmp_path):
     odd = tables(spark, tmp_path / "odd", odd_documents(), [], [(0, "nothing like it")], [])
     assert corpus_pipeline.run(spark, odd).count() > 40
