@@ -51,10 +51,10 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def identifiers(docs: DataFrame, text: str = "text", most: int = IDENTIFIER_DOCS) -> DataFrame:
-    """text, label 0: ordinary identifiers, from words of at most about ``most`` documents: words alone, joined by _ or -, and in camel case."""
+    """text, label 0: ordinary identifiers, from all words of at most about ``most`` documents: words alone, joined by _ or -, and in camel case."""
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0))
     some = hash_sample(docs.select(F.col(text)).filter(F.col(text).isNotNull()), text, most)
-    some = some.select(F.slice(words, 1, 1000).alias("w")).filter(F.size("w") >= 3)
+    some = some.select(words.alias("w")).filter(F.size("w") >= 3)
     three = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.slice(F.col("w"), i + 1, 3))
     forms = some.select(F.posexplode(three).alias("n", "t")).select(
         F.when(F.col("n") % 4 == 0, F.array_join("t", "_")).when(F.col("n") % 4 == 1, F.array_join("t", "-")).when(F.col("n") % 4 == 2, F.array_join(F.transform("t", F.initcap), "")).otherwise(F.lower(F.array_join("t", ""))).alias("text"), F.lit(0).alias("label")

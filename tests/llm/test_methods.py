@@ -113,6 +113,12 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert text == "the_account_manager_update_handler and [SECRET] here"
 
 
+def test_identifiers_come_from_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha " * 1500 + "zebra")], "doc_id long, text string")
+    found = secrets.identifiers(docs)
+    assert found.count() == 1499 and found.filter("lower(text) like '%zebra'").count() == 1
+
+
 def test_overlapping_spans_get_one_mark(spark):
     docs = spark.createDataFrame([(1, "x secret=0123456789abcdef0123 deadbeefdeadbeef é AKIAABCDEFGHIJKLMN!")], "doc_id long, text string")
     model = [0.0] * secrets.SYMBOLS**2
