@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,9 +67,9 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def runs(texts: list[str], most: int = CHUNK_CHARS):
-    """Slices (from, to) of texts with about ``most`` characters each; a longer text is alone."""
-    begin, size = 0, 0
+def runs(texts: list[str], most: int | None = None):
+    """Slices (from, to) of texts with about ``most`` (CHUNK_CHARS) characters each; a longer text is alone."""
+    most, begin, size = most or CHUNK_CHARS, 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
             yield begin, i
@@ -78,6 +79,22 @@ def runs(texts: list[str], most: int = CHUNK_CHARS):
         yield begin, len(texts)
 
 
+_SPACE = re.compile(r"\s")
+
+
+def pieces(text: str, most: int | None = None):
+    """The text in parts of about ``most`` (CHUNK_CHARS) characters, each but the last ending with a space; a longer run without spaces is not cut."""
+    most, at = most or CHUNK_CHARS, 0
+    while len(text) - at > most:
+        found = _SPACE.search(text, at + most - 1)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    if at < len(text):
+        yield text[at:] if at else text
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64 bits (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

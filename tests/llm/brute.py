@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -112,3 +113,49 @@ def jaccard(docs: list[tuple]) -> dict:
             for i in ids[n]:
                 out[i] = (least, links[n])
     return out
+
+
+class KneserNey:
+    """Two Kneser-Ney models over the characters of words, each on top of one of both classes, in plain dictionaries. rows: (text, label). without: a row whose counts its class gives back."""
+
+    def __init__(self, rows, order, without=None):
+        self.order = order
+        own = [[], []]
+        for text, label in rows:
+            own[int(label)] += [g for w in text.split() for g in self.grams(w)]
+        self.counts = [Counter(x) for x in own]
+        self.levels = {order: self.counts[0] + self.counts[1]}
+        for n in range(order, 1, -1):
+            self.levels[n - 1] = Counter(g[1:] for g in self.levels[n])
+        self.shared_d = {n: self.discount(c) for n, c in self.levels.items()}
+        self.d = [self.discount(c) for c in self.counts]
+        if without:
+            text, label = without
+            self.counts[int(label)] = self.counts[int(label)] - Counter(g for w in text.split() for g in self.grams(w))
+
+    def grams(self, word):
+        padded = ("^",) * (self.order - 1) + tuple(word) + ("$",)
+        return [padded[i : i + self.order] for i in range(len(padded) - self.order + 1)]
+
+    @staticmethod
+    def discount(counts):
+        ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    @staticmethod
+    def interpolated(counts, d, gram, lower):
+        after = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return lower
+        return max(counts.get(gram, 0) - d, 0) / total + sum(min(d, c) for c in after.values()) / total * lower
+
+    def ratios(self, word):
+        out = []
+        for gram in self.grams(word):
+            p = 1 / 1024
+            for n in range(1, self.order + 1):
+                p = self.interpolated(self.levels[n], self.shared_d[n], gram[-n:], p)
+            q = [self.interpolated(self.counts[v], self.d[v], gram, p) for v in (0, 1)]
+            out.append(math.log(q[1]) - math.log(q[0]))
+        return out

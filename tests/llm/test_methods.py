@@ -10,10 +10,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontamination, jaccard_join, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
+from emberframe.llm import common, decontamination, jaccard_join, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
 from emberframe.llm.components import components
 from emberframe.llm.language_id import BitSlicedFilters, _grams
 from emberframe.llm.queries import piece_model
+from tests.llm import brute
 
 
 def test_bitsliced_filters_have_no_false_negatives():
@@ -89,9 +90,54 @@ def test_toxic_words_raise_the_score(spark):
 def test_every_ngram_is_kept(spark):
     data = [(i, "river " * 400_000 + f"quixotic{i}", int(i > 3)) for i in range(8)]
     rows = spark.createDataFrame(data, "doc_id long, text string, label int")
-    taught = [r["text"] for r in rows.filter("pmod(xxhash64(cast(doc_id as string)), 4) != 3").collect()]
-    grams = np.unique(toxicity._keys(taught)[0])
-    assert toxicity.learn(rows).ratio.tables[toxicity.ORDER].find(grams)[1].all()
+    grams = np.unique(toxicity._keys([t for _, t, _ in data])[0])
+    assert toxicity.learn(rows).ratio.grams.find(grams)[1].all()
+
+
+def _toxicity_counts(rows):
+    counted = [np.unique(toxicity._keys([t for t, y in rows if y == v])[0], return_counts=True) for v in (1, 0)]
+    keys = np.unique(np.concatenate([k for k, _ in counted]))
+    columns = []
+    for k, n in counted:
+        columns.append(np.zeros(len(keys), dtype=np.int64))
+        columns[-1][np.searchsorted(keys, k)] = n
+    return toxicity.Counts(keys, *columns)
+
+
+def _words_of(rng, n):
+    return " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(n))
+
+
+def test_kneser_ney_equals_plain_dictionaries():
+    rng = random.Random(11)
+    rows = [(_words_of(rng, 40), i % 3 == 0) for i in range(30)]
+    model, ratio = brute.KneserNey(rows, toxicity.ORDER), toxicity.LikelihoodRatio(_toxicity_counts(rows))
+    for word in [*rows[0][0].split(), *rows[1][0].split(), "zzz", "abcabcabcz", "e"]:
+        got = ratio.of(toxicity._keys([word])[0])
+        assert got == pytest.approx(model.ratios(word), abs=1e-4)
+
+
+def test_leaving_a_row_out_takes_its_class_counts_away():
+    rng = random.Random(12)
+    rows = [(_words_of(rng, 30), i % 2) for i in range(12)]
+    counts = _toxicity_counts(rows)
+    for text, label in rows[:4]:
+        model = brute.KneserNey(rows, toxicity.ORDER, without=(text, label))
+        keys = toxicity._keys([text])[0]
+        assert counts.without(text, label)(keys) == pytest.approx([x for w in text.split() for x in model.ratios(w)], abs=1e-9)
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rng = random.Random(13)
+    rows = [(_words_of(rng, 300), i % 2) for i in range(6)]
+    counts = _toxicity_counts(rows)
+    ratio = toxicity.LikelihoodRatio(counts)
+    whole = toxicity.features([t for t, _ in rows], ratio.of)
+    left = [toxicity.features([t], counts.without(t, y)) for t, y in rows]
+    monkeypatch.setattr(common, "CHUNK_CHARS", 100)
+    assert len(list(common.pieces(rows[0][0]))) > 5 and "".join(common.pieces(rows[0][0])) == rows[0][0]
+    assert np.allclose(toxicity.features([t for t, _ in rows], ratio.of), whole)
+    assert all(np.allclose(toxicity.features([t], counts.without(t, y)), x) for (t, y), x in zip(rows, left))
 
 
 def test_classifier_features_ignore_length_and_learn():
@@ -187,8 +233,6 @@ def test_fingerprints_guarantee_shared_spans(spark):
         span = items[rng.randrange(20)][1].split()
         own[20:20] = span[rng.randint(0, 3) :]
         docs.append((i, " ".join(own)))
-    from tests.llm import brute
-
     found = decontamination.hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r["doc_id"], r["n_words"], r["h"], tuple(r["items"])) for r in found.withColumn("h", decontamination.n_hit(F.col("places"))).collect()}
     expected = brute.contamination(docs, items)

@@ -153,6 +153,17 @@ def test_classifiers_on_held_out_rows(spark, tiny, name, label, cut, least):
     assert sum(r["predicted"] == known[r["doc_id"]] for r in held) >= least * len(held)
 
 
+def test_toxicity_in_every_language(spark, tiny):
+    sf = tiny.replace("sf0.001", "sf0.1")
+    toxic, lang = dict(read(spark, sf, "labels", "doc_id", "toxic")), dict(read(spark, sf, "documents", "doc_id", "lang"))
+    held = [r for r in QUERIES["op3_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
+    caught = sum(r["predicted"] and toxic[r["doc_id"]] for r in held)
+    assert caught >= 0.9 * sum(toxic[r["doc_id"]] for r in held) and caught >= 0.88 * sum(r["predicted"] for r in held)
+    for name in set(lang.values()):
+        own = [r["predicted"] for r in held if lang[r["doc_id"]] == name and toxic[r["doc_id"]]]
+        assert len(own) < 10 or sum(own) >= 0.7 * len(own)
+
+
 def test_toxicity_learns_from_all_labels(spark, tiny, monkeypatch):
     sf = tiny.replace("sf0.001", "sf0.01")
     expected = {i for i, x in read(spark, sf, "labels", "doc_id", "toxic") if x is not None and zlib.crc32(str(i).encode()) % 4 != 2}
