@@ -64,27 +64,31 @@ SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust > {url_fi
 
 def _quality() -> str:
     q = quality_rules
-    p = q.ALPHA / len(q.RULES)
-    cuts = ", ".join(f"({i}, {c!r}e0)" for i, c in enumerate(q.CUTOFFS))
-    ratios = " UNION ALL ".join(f"SELECT g, '{n}' AS rule, {r.replace('/', '* 1e0 /')} AS ratio FROM good" for n, r in q.RULES.items())
-    verdict = " OR ".join(f"coalesce({r.replace('/', '* 1e0 /')} > (SELECT cutoff FROM ch WHERE ch.g = st.g AND ch.rule = '{n}'), false)" for n, r in q.RULES.items())
-    tail = f"ln(list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}e0) + (n - i) * ln(1 - {p!r}e0)))))"
+    rules = list(q.RULES)
+    cuts = ", ".join(f"{c!r}e0" for c in q.CUTOFFS)
+    never, size = len(rules) * len(q.CUTOFFS), len(q.CUTOFFS)
+    ratios = " UNION ALL ".join(f"SELECT rid, {i} AS rule, {r.replace('/', '* 1e0 /')} AS ratio FROM st WHERE NOT base_failed" for i, r in enumerate(q.RULES.values()))
+    tail = f"ln(list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA!r}e0) + (n - i) * ln(1 - {q.ALPHA!r}e0)))))"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS g, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 tri AS (SELECT rid, i, array_to_string(w[i + 1:i + 3], ' ') AS s FROM d, UNNEST(range(greatest(0, len(w) - 2))) AS u(i)),
 rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM tri) AS q WHERE c > 1) AS q2, (VALUES (0), (1), (2)) AS v(o) GROUP BY rid),
 ln_ AS (SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) AS q WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 li AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS dup FROM ln_ GROUP BY rid),
-st AS (SELECT d.rid, doc_id, g, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN li ON li.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid),
-good AS (SELECT st.* FROM st JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = st.doc_id),
-ra AS ({ratios}),
-ct(i, c) AS (VALUES {cuts}),
-k AS (SELECT g, rule, i, c, count(*) AS n, count(*) FILTER (ratio > c) AS k FROM ra CROSS JOIN ct GROUP BY ALL),
-ok AS (SELECT *, CASE WHEN k >= n * {p!r}e0 THEN false ELSE {tail} <= ln({q.DELTA / len(q.RULES)!r}e0 / (SELECT count(DISTINCT g) FROM good)) END AS good FROM k),
-fa AS (SELECT g, rule, coalesce(min(i) FILTER (NOT good), {len(q.CUTOFFS)}) AS f FROM ok GROUP BY ALL),
-ch AS (SELECT fa.g, fa.rule, c AS cutoff FROM fa JOIN ct ON ct.i = f - 1),
-ve AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {verdict} AS rejected FROM st)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM ve
+s0 AS (SELECT d.rid, doc_id, g, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN li ON li.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid),
+st AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s0),
+lab AS (SELECT st.rid, g, quality FROM st JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1)) AS l ON l.doc_id = st.doc_id),
+fi AS (SELECT rid, rule, len(list_filter([{cuts}], lambda c: ratio <= c)) AS f FROM ({ratios}) AS q),
+rk AS (SELECT r.rule, row_number() OVER (ORDER BY coalesce(hits, 0) DESC, r.rule) - 1 AS place FROM (VALUES {", ".join(f"({i})" for i in range(len(rules)))}) AS r(rule)
+  LEFT JOIN (SELECT rule, count(*) AS hits FROM fi JOIN lab ON lab.rid = fi.rid WHERE quality = 0 AND f < {size} GROUP BY rule) AS h ON h.rule = r.rule),
+sp AS (SELECT rid, min(CASE WHEN f < {size} THEN place * {size} + f ELSE {never} END) AS step FROM fi JOIN rk ON rk.rule = fi.rule GROUP BY rid),
+se AS (SELECT DISTINCT step AS setting FROM sp JOIN lab ON lab.rid = sp.rid WHERE quality = 0 AND step < {never}),
+gd AS (SELECT g, coalesce(step, {never}) AS step FROM lab LEFT JOIN sp ON sp.rid = lab.rid WHERE quality = 1),
+sz AS (SELECT g, count(*) AS n FROM gd GROUP BY g HAVING (1 - {q.ALPHA!r}e0) ** count(*) <= {q.DELTA!r}e0),
+k AS (SELECT sz.g, n, setting, (SELECT count(*) FROM gd WHERE gd.g = sz.g AND gd.step <= se.setting) AS k FROM sz CROSS JOIN se),
+ok AS (SELECT *, CASE WHEN k >= n * {q.ALPHA!r}e0 THEN false ELSE {tail} <= ln({q.DELTA!r}e0 / (SELECT count(*) FROM sz)) END AS good FROM k),
+ch AS (SELECT g, max(setting) AS last FROM ok AS a WHERE NOT EXISTS (SELECT 1 FROM ok AS b WHERE b.g = a.g AND b.setting <= a.setting AND NOT b.good) GROUP BY g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(step <= last, false) AS kept FROM st LEFT JOIN sp ON sp.rid = st.rid LEFT JOIN ch ON ch.g = st.g
 """
 
 

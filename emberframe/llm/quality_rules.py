@@ -1,15 +1,21 @@
 """Operator 8 [native]: quality rules with risk-controlled thresholds.
 
 ``statistics`` counts words, symbols, repeated lines and repeated windows of words of whole texts. Base rules reject texts that
-are short or mostly repetition. The other rules compare a ratio with a cutoff, and labelled holdouts choose the cutoffs: in each
-stratum and for each rule, cutoffs are tested from lenient to strict, and the strictest before the first failure counts. A
-cutoff passes if the chance to see as few good rows rejected, were the true rate ``ALPHA`` / rules, is below ``DELTA`` /
-(strata x rules): an exact binomial tail, with Bonferroni's correction over strata and rules and the fixed sequence over cutoffs.
-So with probability 1 - DELTA, in no stratum more than ALPHA of the good rows are rejected. A stratum with too few labelled rows
-for a proof has no cutoffs.
-
-Null texts have no words and fail. A null stratum is a stratum of its own. Rows whose label is not 1 choose nothing. Repeated
-rows each give a row. Only the columns asked for are carried along, so names cannot clash.
+are short or mostly repetition. The other rules compare a ratio with a cutoff, and labelled holdouts choose the cutoffs. Settings
+of all rules together form one chain: the first rule's cutoffs from lenient to strict, then, with that rule at its strictest, the
+second's, then the third's. The chain is read from the rows labelled bad alone, so the good rows, which test it, never shape
+it: the rule that rejects most of them at its strictest is first, and a setting that rejects none that those before it keep is left
+out. In each stratum the settings are tested in order, and the last before the first failure holds. A setting passes if the chance to see as few good rows rejected that the base
+rules keep, were the true share ``ALPHA`` of the good rows, is at most ``DELTA`` / strata: an exact binomial tail, the fixed
+sequence inside a stratum, Bonferroni's correction over strata. So with probability 1 - DELTA, in no stratum do the rules together
+reject more than ALPHA of the good rows beyond the base rules. Strata count, and can have cutoffs, if they hold good rows enough
+to pass at DELTA without a rejection (their number decides, not their verdicts).
+
+Whether two windows of words are equal is decided on the words; hashes only sort out what cannot be equal.
+
+Null texts have no words and fail. A null stratum is a stratum of its own. Rows whose label is neither 1 nor 0 choose nothing; a
+row labelled both ways counts as both. A ratio equal to a cutoff is kept. Repeated rows each give a row. Empty tables give no rows,
+and without labels there are no cutoffs. Only the columns asked for are carried along, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -43,31 +49,39 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     def measure(words: Column) -> Column:
         n = F.size(words).cast("long")
-        places = F.sequence(F.lit(0), F.size(words) - 3)
 
-        def packed() -> Column:
-            # a number for each window: the hash's upper part, then the place; sorted, equal windows are neighbours
-            def pack(i: Column) -> Column:
-                h = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit((1 << 62) - 1))
-                return h - h % n + i
+        def windows(hashes: Column) -> Column:
+            some = F.slice(hashes, 1, F.size(hashes) - 2)
+            return F.transform(some, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
 
-            return F.sort_array(F.transform(places, pack))
+        def alike(found: Column) -> Column:
+            # a number for each window: the hash's upper part, then the place; sorted, windows that may be equal are neighbours
+            packed = F.sort_array(F.transform(found, lambda h, i: let(h.bitwiseAND(F.lit((1 << 62) - 1)), lambda x: x - x % n + i)))
 
-        def again(found: Column) -> Column:
-            def upper(i: Column) -> Column:
-                p = F.get(found, i)
-                return p - p % n
+            def again(p: Column) -> Column:
+                def upper(x: Column) -> Column:
+                    return x - x % n
 
-            inner = F.filter(found, lambda p, i: (F.coalesce(upper(i - 1), F.lit(-1)) == p - p % n) | (F.coalesce(upper(i + 1), F.lit(-1)) == p - p % n))
-            return F.sort_array(F.transform(inner, lambda p: p % n))
+                inner = F.filter(p, lambda x, i: let(upper(x), lambda u: (F.coalesce(upper(F.get(p, i - 1)), F.lit(-1)) == u) | (F.coalesce(upper(F.get(p, i + 1)), F.lit(-1)) == u)))
+                return F.transform(inner, lambda x: (x % n).cast("int"))
+
+            return let(packed, again)
+
+        def same(places: Column) -> Column:
+            # the words themselves, sorted: equal windows are neighbours
+            named = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
+            return let(named, lambda x: F.sort_array(F.transform(F.filter(x, lambda r, i: (F.get(x, i - 1)["w"] == r["w"]) | (F.get(x, i + 1)["w"] == r["w"])), lambda r: r["i"])))
 
         def covered(at: Column) -> Column:
-            return F.aggregate(F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1), F.lit(1 << 40)) - p, F.lit(3).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+            return F.aggregate(F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1) - p, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+        def repeated(found: Column) -> Column:
+            return F.when(F.size(F.array_distinct(found)) < F.size(found), let(same(alike(found)), covered)).otherwise(F.lit(0).cast("long"))
 
-        repeats = F.when(F.size(words) >= 4, let(packed(), lambda found: let(again(found), covered))).otherwise(F.lit(0).cast("long"))
+        repeats = F.when(F.size(words) >= 4, let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: let(windows(hashes), repeated))).otherwise(F.lit(0).cast("long"))
         return F.struct(n.alias("n_words"), repeats.alias("n_repeat_words"))
 
-    words = F.filter(F.split("t", f"[{SPACES}]+", -1), lambda w: w != "")
+    words = F.array_remove(F.split("t", f"[{SPACES}]+", -1), "")
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.trim(F.translate(x, "\t\n\x0b\x0c\r", "     ")) != "")
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     found = base.select("own", let(words, measure).alias("m"), line_counts.alias("l"), F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", SYMBOL_CHARS, ""))).cast("long").alias("n_symbols"))
@@ -104,21 +118,46 @@ def log_tail(k: Column, n: Column, p: float, terms: int = 400) -> Column:
     return F.when(n <= 0, 0.0).when(k >= n * p, 0.0).otherwise(top + F.ln(total))
 
 
+def _ratios() -> dict[str, Column]:
+    return {name: F.expr(r) for name, r in RULES.items()}
+
+
+def _step(order: list[str]) -> Column:
+    """The first setting of the chain that rejects a row; the number of settings if none does."""
+    never = len(RULES) * len(CUTOFFS)
+    steps = []
+    for k, name in enumerate(order):
+        first = sum(((_ratios()[name] <= c).cast("int") for c in CUTOFFS), F.lit(0))
+        steps.append(F.when(first < len(CUTOFFS), first + k * len(CUTOFFS)).otherwise(never))
+    return F.least(*steps)
+
+
+def chain(bad: DataFrame) -> tuple[list[str], list[int]]:
+    """The rules in order, by how many of the rows labelled bad that the base rules keep each rejects at its strictest; and the settings that reject some that those before them keep."""
+    bad = bad.filter(~base_failed())
+    counts = bad.agg(*[F.coalesce(F.sum((r > CUTOFFS[-1]).cast("long")), F.lit(0)).alias(name) for name, r in _ratios().items()]).first()
+    order = sorted(RULES, key=lambda name: -counts[name])
+    steps = bad.select(_step(order).alias("step")).distinct().collect()  # one more than settings at most
+    return order, sorted(r["step"] for r in steps if r["step"] < len(RULES) * len(CUTOFFS))
+
+
 def cutoffs(holdout: DataFrame, stratum: str = "stratum", label: str = "label", *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and, for each rule, its cutoff or null: a row rejected has a ratio above the cutoff. holdout: statistics with stratum and label."""
-    good = holdout.filter(F.col(label) == 1).withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    over = [F.sum((F.expr(r) > c).cast("long")).alias(f"{name}_{i}") for name, r in RULES.items() for i, c in enumerate(CUTOFFS)]
-    counts = good.groupBy("_s").agg(F.count("*").alias("n"), *over)
-    strata = counts.agg(F.count("*").alias("strata"))
-    out = counts.crossJoin(F.broadcast(strata))  # strata: one row
+    """stratum and, for each rule, its cutoff or null: a row rejected has a ratio above the cutoff. holdout: statistics with stratum and label (1 good, 0 bad)."""
+    order, settings = chain(holdout.filter(F.col(label) == 0))
+    never = len(RULES) * len(CUTOFFS)
+    good = holdout.filter(F.col(label) == 1).select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_s"), F.when(base_failed(), never).otherwise(_step(order)).alias("_step"))
+    over = F.array(*[F.sum((F.col("_step") <= i).cast("long")) for i in settings]).cast("array<bigint>")
+    counts = good.groupBy("_s").agg(F.count("*").alias("n"), over.alias("over"))
+    counts = counts.filter(F.col("n") >= math.ceil(math.log(delta) / math.log1p(-alpha)))
+    strata = max(1, counts.count())
+    tests = F.transform("over", lambda k: log_tail(k, F.col("n"), alpha) <= math.log(delta / strata))
+    failed = F.array_position(tests, False)
+    last = F.when(failed == 0, len(settings)).otherwise(failed - 1).cast("int")
+    passed = F.coalesce(F.get(F.lit(settings).cast("array<int>"), last - 1) + 1, F.lit(0))
     chosen = []
-    for name in RULES:
-        passes = [log_tail(F.col(f"{name}_{i}"), F.col("n"), alpha / len(RULES)) <= F.ln(F.lit(delta / len(RULES)) / F.col("strata")) for i in range(len(CUTOFFS))]
-        tests = F.array(*passes)
-        failed = F.array_position(tests, False)
-        last = F.when(failed == 0, len(CUTOFFS)).otherwise(failed - 1).cast("int")
-        chosen.append(F.get(F.lit([float(c) for c in CUTOFFS]), last - 1).alias(name))
-    return out.select(F.col("_s").alias("stratum"), *chosen)
+    for k, name in enumerate(order):
+        chosen.append(F.get(F.lit([float(c) for c in CUTOFFS]), F.least(F.col("passed") - k * len(CUTOFFS), F.lit(len(CUTOFFS))) - 1).alias(name))
+    return counts.select(F.col("_s").alias("stratum"), passed.alias("passed")).select("stratum", *chosen).select("stratum", *RULES)
 
 
 def verdicts(stats: DataFrame, table: DataFrame, stratum: str = "stratum") -> DataFrame:
@@ -137,6 +176,6 @@ def apply(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     """Statistics and verdicts of all docs; labels (id, label) choose the cutoffs."""
     numbered = docs.select(F.col(id_column).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     stats = written(statistics(numbered, keep=("id", "stratum")), "quality-statistics")
-    known = labels.select(F.col(id_column).alias("id"), F.col(label).alias("label")).filter("label = 1").distinct()
-    table = written(cutoffs(stats.join(known, "id")), "quality-cutoffs")
+    known = labels.select(F.col(id_column).alias("id"), F.col(label).alias("label")).filter("label in (0, 1)").distinct()
+    table = written(cutoffs(written(stats.join(known, "id"), "quality-holdout")), "quality-cutoffs")
     return verdicts(stats, table).withColumnRenamed("id", id_column)

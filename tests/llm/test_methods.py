@@ -180,17 +180,48 @@ def test_exact_tail(spark):
         assert got >= exact - 1e-7 and (got == 0 or got <= exact + 1e-6)
 
 
+STATISTICS = "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, label int"
+
+
 def test_cutoffs_keep_their_promise(spark):
     rng = random.Random(6)
     data = [("a", 100, 400, rng.choice([0, 0, 4]), 0, 0, 10, 1) for _ in range(4000)] + [("b", 100, 400, 300, 0, 0, 10, 1) for _ in range(30)] + [("a", 100, 400, 200, 0, 0, 10, 0)] * 50
-    stats = spark.createDataFrame(data, "stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, label int")
+    stats = spark.createDataFrame(data, STATISTICS)
     table = quality_rules.cutoffs(stats)
-    by = {r["stratum"]: r for r in table.collect()}
-    assert by["a"]["symbols"] == 0.05 and by["b"]["symbols"] is None
+    # b has too few rows for a proof; no rows ask for the other rules, nor for a stricter cutoff
+    assert [tuple(r) for r in table.collect()] == [("a", 0.4, None, None)]
     judged = quality_rules.verdicts(stats, table)
     assert judged.filter("label = 0 and kept").count() == 0 and judged.filter("label = 1 and not kept").count() == 0
 
 
+def test_cutoffs_bind_where_good_rows_need_them(spark):
+    def rows(stratum, n, symbols, repeats, label):
+        return [(stratum, 100, 100, symbols, 0, repeats, 10, label)] * n
+
+    bad = rows("a", 40, 90, 0, 0) + rows("b", 20, 35, 0, 0) + rows("a", 10, 0, 40, 0) + rows("a", 5, 0, 9, 0)
+    # in b a third of the good rows have many symbols: the chain stops before them, so no later rule applies
+    good = rows("a", 600, 0, 0, 1) + rows("a", 2, 0, 45, 1) + rows("a", 40, 0, 9, 1) + rows("b", 400, 0, 0, 1) + rows("b", 200, 50, 0, 1)
+    # 150 rows could pass at DELTA, not at DELTA / 3; 100 could never pass and cost nothing
+    small = rows("c", 150, 0, 0, 1) + rows("d", 100, 0, 0, 1)
+    stats = spark.createDataFrame(bad + good + small + rows("d", 3, 90, 0, 0), STATISTICS)
+    table = {r["stratum"]: (r["symbols"], r["dup_lines"], r["repeats"]) for r in quality_rules.cutoffs(stats).collect()}
+    assert table == {"a": (0.05, None, 0.3), "b": (0.8, None, None), "c": (None, None, None)}
+    assert quality_rules.chain(stats.filter("label = 0"))[0] == ["symbols", "repeats", "dup_lines"]
+    judged = quality_rules.verdicts(stats, quality_rules.cutoffs(stats))
+    found = {(r["stratum"], r["label"]): r["count"] for r in judged.filter("not kept").groupBy("stratum", "label").count().collect()}
+    assert found == {("a", 0): 50, ("a", 1): 2}
+
+
+def test_repeats_in_long_texts_are_exact(spark):
+    rng = random.Random(9)
+    words = [f"{rng.randrange(60)}" for _ in range(20_000)] + [f"x{i}" for i in range(250_000)] + ["a", "b", "c"] * 3
+    texts = [(1, " ".join(f"w{i}" for i in range(3_000_000))), (2, " ".join(words))]
+    assert len(texts[1][1]) > common.CHUNK_CHARS
+    found = {r["doc_id"]: r for r in quality_rules.statistics(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[1]["n_words"] == 3_000_000 and found[1]["n_repeat_words"] == 0
+    assert tuple(found[2][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute.statistics(texts[1][1])[:5]
+
+
 def test_trust_flows_along_links_and_distrust_against(spark):
     edges = spark.createDataFrame([("t", "a", 1), ("a", "b", 1), ("c", "s", 2), ("c", "a", 1), ("d", "c", 1)], "src string, dst string, n long")
     found = {r["host"]: r for r in url_filter.host_scores(edges, spark.createDataFrame([("t", 3)], "host string, weight long"), spark.createDataFrame([("s", 1)], "host string, weight long")).collect()}
