@@ -159,3 +159,30 @@ class KneserNey:
             q = [self.interpolated(self.counts[v], self.d[v], gram, p) for v in (0, 1)]
             out.append(math.log(q[1]) - math.log(q[0]))
         return out
+
+
+def language_grams(text, order=4):
+    """The n-grams of a text's letters, other characters as one space, its end filled up."""
+    own = f" {re.sub(r'[^a-z]+', ' ', text.lower()).strip()} " + "\0" * (order - 1)
+    return [own[i : i + order] for i in range(len(own) - order + 1)]
+
+
+def language_sets(rows, least_rate):
+    """For each language, the n-grams whose rate in it is at least that part of their greatest rate in any."""
+    counts = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(language_grams(text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    most = Counter()
+    for lang, own in counts.items():
+        for g, n in own.items():
+            most[g] = max(most[g], n / total[lang])
+    return {lang: {g for g, n in own.items() if n / total[lang] >= least_rate * most[g]} for lang, own in counts.items()}
+
+
+def language_shares(text, sets):
+    """For each language, the share of the text's n-grams that it has; nothing for a text without letters."""
+    if not re.search("[a-z]", text.lower()):
+        return {}
+    grams = language_grams(text)
+    return {lang: sum(g in own for g in grams) / max(1, len(grams)) for lang, own in sets.items()}

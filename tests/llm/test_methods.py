@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from emberframe.llm import common, decontamination, jaccard_join, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
+from emberframe.llm import common, decontamination, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece_bpe, token_files, toxicity, url_filter
 from emberframe.llm.components import components
 from emberframe.llm.language_id import BitSlicedFilters, _grams
 from emberframe.llm.queries import piece_model
@@ -20,19 +20,53 @@ from tests.llm import brute
 def test_bitsliced_filters_have_no_false_negatives():
     words = {"a": "the cat sat on the mat", "b": "der hund lief in den wald"}
     grams = {k: np.unique(_grams([t], 4)[0]) for k, t in words.items()}
-    f = BitSlicedFilters(grams)
+    f = BitSlicedFilters.of(grams)
     for n, k in enumerate(f.languages):
-        assert ((f.languages_of(grams[k])[:, 0] >> np.uint64(n)) & np.uint64(1)).all()
+        assert ((f.languages_of(grams[k])[0] >> n) & 1).all()
     assert f.predict(["the cat", "der wald", None, "12", "x"])[0][:4] == ["a", "b", "und", "und"]
 
 
 def test_more_than_64_languages():
     rng = random.Random(2)
     texts = {f"l{i:03}": " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)) for i in range(130)}
-    f = BitSlicedFilters({k: np.unique(_grams([t], 4)[0]) for k, t in texts.items()})
+    f = BitSlicedFilters.of({k: np.unique(_grams([t], 4)[0]) for k, t in texts.items()})
     assert f.predict(list(texts.values()))[0] == list(texts)
 
 
+def _language_rows(n=60):
+    """Texts with common letters and words of their language; one in fifty has another language's name."""
+    rng = random.Random(14)
+    own = {"de": "und der die das nicht ein", "en": "the and of to in is", "fr": "le la les et des une"}
+    return [(f"{_words_of(rng, 20)} {' '.join(rng.choice(own[g].split()) for _ in range(20))} {i}!", g if i % 50 < 49 else "en") for i in range(n) for g in own]
+
+
+def test_language_scores_equal_plain_sets(spark, monkeypatch):
+    rows = _language_rows()
+    sets = brute.language_sets(rows, language_id.LEAST_RATE)
+    assert any(not set(brute.language_grams(t)) <= sets[g] for t, g in rows)
+    f = language_id.learn(spark.createDataFrame(rows * 2, "text string, lang string").repartition(3))
+    texts = [t for t, _ in _language_rows(9)] + ["the und", "zzzz qqqq", "A", "1", ""]
+    names, scores = f.predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        expected = brute.language_shares(t, sets)
+        if not expected:
+            assert (name, score) == ("und", 0)
+            continue
+        # false positives are corrected for, in expectation
+        assert abs(score - expected[name]) < 0.05 and expected[name] >= max(expected.values()) - 0.05
+    # a tie goes to the first in order
+    tied = language_id.learn(spark.createDataFrame([("same words here", "y"), ("same words here", "x")], "text string, lang string"))
+    assert tied.predict(["same words"])[0] == ["x"]
+    # rows in other partitions and other filter sizes set the same bits as n-grams at hand
+    plain = BitSlicedFilters.of({g: np.unique(language_id.gram_hashes(np.array([[ord(c) for c in x] for x in own], dtype=np.uint64).T)) for g, own in sets.items()})
+    assert f.log2 == plain.log2 and all((a == b).all() for a, b in zip(f.masks, plain.masks))
+    long = " ".join(t for t, g in rows if g == "fr")
+    whole = f.predict([long, "", long])
+    monkeypatch.setattr(common, "CHUNK_CHARS", 200)
+    cut = f.predict([long, "", long])
+    assert cut[0] == whole[0] == ["fr", "und", "fr"] and cut[1] == pytest.approx(whole[1], abs=0.01)
+
+
 def test_pieces_match_the_library():
     import sentencepiece
 
