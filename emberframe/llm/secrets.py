@@ -3,12 +3,14 @@
 Base rules find assignments of long values to names such as ``password``, access keys and long runs of hex digits; their
 matches are leftmost and do not overlap within a kind. The method adds runs of 20 or more key characters that two first-order
 Markov models, one of random strings and one of ordinary identifiers, call random: the log-likelihood ratio per transition
-exceeds a threshold. Models are counts of character pairs from labelled samples, two tables of 65 x 65 cells whatever the
-input. A run that overlaps a base span is left out.
+exceeds a threshold. Models are counts of character pairs from labelled samples, two tables of 67 x 67 cells whatever the
+input: hashes as random strings, and the words of about ``IDENTIFIER_DOCS`` distinct texts, whole, as identifiers. A run that
+overlaps a base span is left out; one whose ratio equals the threshold is no secret.
 
 Offsets count code points, ends are exclusive. Matches of a text become rows, whose offsets are running sums; texts with any
-number of matches take time in proportion. Null texts count as empty and have no spans. Repeated rows each give a row. Columns
-of the input other than those asked for are left out, so names cannot clash.
+number of matches take time in proportion. Null texts count as empty and have no spans. Repeated rows each give a row; equal texts
+teach once. An empty table gives no rows, and without texts to learn from every identifier's pair is as likely as any. Columns of
+the input other than those asked for are left out, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import hash_sample, let
+from emberframe.llm.common import let
 
 #: The base rules, as kind: (pattern, the group whose length counts, least length). Where the whole match counts,
 #: the least length stands in the pattern: a run is matched whole, so its short matches are just those that fail.
@@ -35,11 +37,10 @@ THRESHOLD, IDENTIFIER_DOCS, RANDOM_STRINGS = 1.0, 2_000, 4_000
 SYMBOLS = len(ALPHABET) + 1
 
 
-def _pair_index(s: Column, i: Column) -> Column:
-    """The cell of the pair of characters i, i + 1 (from 1) of s."""
-    a = F.call_function("locate", F.substring(s, i, F.lit(1)), F.lit(ALPHABET))
-    b = F.call_function("locate", F.substring(s, i + 1, F.lit(1)), F.lit(ALPHABET))
-    return a * SYMBOLS + b
+def _cells(s: Column) -> Column:
+    """The cells of all pairs of neighbours of s, in one pass over its characters."""
+    numbers = F.transform(F.split(s, ""), lambda c: F.call_function("locate", c, F.lit(ALPHABET)))
+    return let(numbers, lambda n: F.transform(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))), lambda a, i: a * SYMBOLS + F.get(n, i + 1)))
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
@@ -51,9 +52,13 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def identifiers(docs: DataFrame, text: str = "text", most: int = IDENTIFIER_DOCS) -> DataFrame:
-    """text, label 0: ordinary identifiers, from all words of at most about ``most`` documents: words alone, joined by _ or -, and in camel case."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0))
-    some = hash_sample(docs.select(F.col(text)).filter(F.col(text).isNotNull()), text, most)
+    """text, label 0: ordinary identifiers, from all words of about ``most`` distinct texts (by their hash), or of all if there are fewer: words alone, joined by _ or -, and in camel case."""
+    words = F.regexp_extract_all("t", F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0))
+    named = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
+    distinct = named.select("h").distinct().count()
+    if distinct > most:
+        named = named.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * most / distinct))
+    some = named.dropDuplicates(["h"])
     some = some.select(words.alias("w")).filter(F.size("w") >= 3)
     three = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.slice(F.col("w"), i + 1, 3))
     forms = some.select(F.posexplode(three).alias("n", "t")).select(
@@ -65,7 +70,7 @@ def identifiers(docs: DataFrame, text: str = "text", most: int = IDENTIFIER_DOCS
 def train(samples: DataFrame) -> list[float]:
     """The log-likelihood ratio (random over ordinary) of each pair of symbols, row by row. samples: text, label."""
     own = samples.filter("text is not null and length(text) > 1 and label in (0, 1)")
-    cells = own.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: _pair_index(F.col("text"), i))).alias("cell"))
+    cells = own.select("label", F.explode(_cells(F.col("text"))).alias("cell"))
     counts = [[0.5] * (SYMBOLS * SYMBOLS) for _ in range(2)]
     for r in cells.groupBy("label", "cell").count().collect():  # 2 x SYMBOLS^2 rows at most
         counts[r["label"]][r["cell"]] += r["count"]
@@ -77,8 +82,8 @@ def train(samples: DataFrame) -> list[float]:
 
 def ratio_per_transition(s: Column, model: list[float]) -> Column:
     """The mean log-likelihood ratio of the transitions of s."""
-    cells = F.lit([float(x) for x in model])
-    total = F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(cells, _pair_index(s, i)))
+    ratios = F.lit([float(x) for x in model])
+    total = F.aggregate(_cells(s), F.lit(0.0), lambda acc, cell: acc + F.get(ratios, cell))
     return F.when(F.length(s) > 1, total / (F.length(s) - 1)).otherwise(0.0)
 
 

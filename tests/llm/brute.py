@@ -51,6 +51,30 @@ def contamination(docs: list[tuple], items: list[tuple]) -> list[tuple]:
     return out
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+
+
+def pair_model(samples):
+    """log P(pair | random) - log P(pair | ordinary) in plain dictionaries. samples: (text, label)."""
+    index = {c: i for i, c in enumerate(ALPHABET, 1)}
+    counts, size = [Counter(), Counter()], len(ALPHABET) + 1
+    for text, label in samples:
+        counts[label].update((index.get(a, 0), index.get(b, 0)) for a, b in zip(text, text[1:]))
+
+    def log(label, a, b):
+        return math.log((counts[label][a, b] + 0.5) / (sum(counts[label][a, x] for x in range(size)) + 0.5 * size))
+
+    table = {(a, b): log(1, a, b) - log(0, a, b) for a in range(size) for b in range(size)}
+    return lambda s: sum(table[index.get(a, 0), index.get(b, 0)] for a, b in zip(s, s[1:])) / (len(s) - 1)
+
+
+def all_spans(text, ratio, threshold):
+    """Base spans, and runs of key characters that the models call random and that no base span touches."""
+    base = base_spans(text)
+    runs = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or "") if ratio(m[0]) > threshold]
+    return sorted(base + [r for r in runs if not any(a < r[2] and r[0] < b for a, _, b in base)])
+
+
 def statistics(text: str | None) -> tuple[int, int, int, int, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t = text or ""

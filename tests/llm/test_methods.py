@@ -184,15 +184,37 @@ def test_classifier_features_ignore_length_and_learn():
 
 
 def test_random_strings_are_told_from_identifiers(spark):
-    words = " ".join(["alpha", "house", "river", "account", "number", "manager", "update", "value", "with", "request", "handler", "index"] * 20)
+    some, rng = ["alpha", "house", "river", "account", "number", "manager", "update", "value", "with", "request", "handler", "index"], random.Random(17)
+    words = " ".join(rng.choice(some) for _ in range(240))
+    teach = spark.createDataFrame([(" ".join(rng.choice(some) for _ in range(240)),) for _ in range(40)], "text string")
     docs = spark.createDataFrame([(1, words), (2, "the_account_manager_update_handler and x9Kq2LmZ7vT4wB8nR3yP6cJ1dF5g here")], "doc_id long, text string")
-    model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(docs.filter("doc_id = 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))))))
+    model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(teach)))
     found = {r["doc_id"]: r["spans"] for r in secrets.spans(docs, model).select("doc_id", secrets.as_text(F.col("spans")).alias("spans")).collect()}
     assert found == {1: "", 2: "markov:39:67"}
     text = secrets.spans(docs, model, keep=("doc_id", "text")).filter("doc_id = 2").select(secrets.redacted(F.col("text"), F.col("spans")).alias("t")).first()["t"]
     assert text == "the_account_manager_update_handler and [SECRET] here"
 
 
+def test_random_strings_of_usual_alphabets_are_found(spark, tiny):
+    rng = random.Random(16)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(docs)))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base62": upper + lower + digits, "base64": upper + lower + digits + "+/", "upper hex": "0123456789ABCDEF", "base32": upper + "234567", "lower and digits": lower + digits, "lower": lower}
+    rows = [(f"{name}", "".join(rng.choice(own) for _ in range(32))) for name, own in kinds.items() for _ in range(300)]
+    names = ["get_user_account_by_identifier", "DocumentBuilderFactoryInstance", "configuration-manager-service", "the/path/to/some/ordinary/file", "number_of_remaining_connections", "XMLHttpRequestEventListener", "default_application_settings", "MAXIMUM_NUMBER_OF_CONNECTIONS", "continuous-integration-server"]
+    df = spark.createDataFrame(rows + [("name", n) for n in names], "kind string, text string")
+    judged = df.select("kind", (secrets.ratio_per_transition(F.col("text"), model) > secrets.THRESHOLD).cast("int").alias("found")).groupBy("kind").agg(F.avg("found").alias("share"))
+    share = {r["kind"]: r["share"] for r in judged.collect()}
+    assert all(share[k] >= 0.95 for k in kinds if k != "lower") and share["lower"] >= 0.9 and share["name"] <= 0.2
+
+
+def test_identifier_sample_is_of_distinct_texts(spark):
+    docs = spark.createDataFrame([(f"common words again {i if i < 400 else 0} here",) for i in range(4000)], "text string")
+    # each text has four words of letters alone, so two identifiers; the text with 3601 rows counts once
+    assert 60 * 2 <= secrets.identifiers(docs, most=100).count() <= 140 * 2
+
+
 def test_identifiers_come_from_whole_texts(spark):
     docs = spark.createDataFrame([(1, "alpha " * 1500 + "zebra")], "doc_id long, text string")
     found = secrets.identifiers(docs)

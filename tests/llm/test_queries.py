@@ -92,6 +92,19 @@ def test_secrets(spark, path):
     same(got(spark, "op5_secrets", path, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), expected)
 
 
+def test_random_spans(spark, path):
+    rng = random.Random(15)
+    letters = brute.ALPHABET
+    docs = read(spark, path, "documents", "doc_id", "text")
+    more = [(1000 + i, f"{PROSE[:40]} {''.join(rng.choice(letters) for _ in range(rng.randint(18, 60)))} id=com/example/project/module_name {'x' * 30}") for i in range(40)]
+    df = spark.createDataFrame([d for d in docs if d[1] is not None] + more + [(-1, None)], "doc_id long, text string")
+    samples = Q.secrets.random_strings(spark, 300).unionByName(Q.secrets.identifiers(df))
+    ratio = brute.pair_model([tuple(r) for r in samples.collect()])
+    found = Q.secrets.spans(df, Q.secrets.train(samples)).collect()
+    same([(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found], [(i, brute.all_spans(t, ratio, Q.secrets.THRESHOLD)) for i, t in df.collect()])
+    assert sum(s["kind"] == 3 for r in found for s in r["spans"]) > 30
+
+
 def test_decontamination(spark, path):
     items = [r for r in read(spark, path, "benchmark", "item_id", "text") if r[0] is not None]
     expected = brute.contamination(read(spark, path, "documents", "doc_id", "text"), items)
