@@ -9,6 +9,8 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 #: Characters that one vectorised pass takes at once; bounds the arrays of a Python worker.
 CHUNK_CHARS = 1 << 20
@@ -40,17 +42,47 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker gets at once; texts may be long, and a worker holds a batch in several forms.
-BATCH_ROWS = 1_000
+#: Rows, and bytes on average, that a Python worker turns into objects at once; texts may be long, and a worker holds them in several forms.
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 24
 
 
-def by_batches(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInPandas in batches of BATCH_ROWS rows at most. Spark knows this bound only as a setting of the session."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInPandas(function, schema)
+def _slices(batches):
+    """Arrow batches, whatever size the session gives them, in slices of BATCH_ROWS rows at most."""
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def by_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
+    """function: from an iterator of pandas frames of BATCH_ROWS rows at most to such of the schema. Whole numbers stay exact beside nulls."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = to_arrow_schema(schema)
+        for out in function(part.to_pandas(integer_object_nulls=True) for part in _slices(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def adding(docs: DataFrame, text: str, make, fields: list[T.StructField]) -> DataFrame:
+    """docs with more columns, which give way to columns of the same names. make() gives, once a task, a function from a list of texts (None for what isn't a string) to a list of values for each field. Other columns pass through untouched."""
+    keep = [c for c in docs.columns if c not in {f.name for f in fields}]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        function, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
+        for part in _slices(batches):
+            made = function([t if isinstance(t, str) else None for t in part.column(keep.index(text)).to_pylist()])
+            names = [*part.schema, *(pa.field(f.name, k) for f, k in zip(fields, kinds))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, type=k) for x, k in zip(made, kinds))], schema=pa.schema(names))
+
+    return docs.select(*keep).mapInArrow(run, schema)
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

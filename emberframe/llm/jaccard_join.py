@@ -6,15 +6,19 @@ in all values of a band share a bucket. Inside a bucket the values of all pairs
 as, given its matches so far, the posterior probability of a similarity of ``THRESHOLD`` or more is below ``TOLERANCE``. The pairs
 left connect clusters, and inside a cluster every pair is verified exactly on the shingles themselves.
 
-No task gets an unbounded bucket or cluster: members are dealt to blocks of about ``BLOCK``, and each task compares two
-blocks. It returns a row for each member (its links, and the smallest member that they connect it to), never the pairs, so
-rows grow in proportion to members x blocks. Buckets with the same members are compared once. Which shingles to gather is told
-by a bitmap of fixed size, so texts are never shuffled, and only clusters' shingles are.
+No task gets an unbounded bucket or cluster: members are dealt to blocks of about ``BLOCK``, or fewer if their shingles take more
+than ``BLOCK_BYTES``, and each task compares two blocks. It returns a row for each member (its links, and the smallest member that
+they connect it to), never the pairs. To count all links of a group of n different texts exactly, each must meet all others, so
+n * n / BLOCK sets are shuffled; groups of exact copies are one text. Buckets with the same members are compared once. Which
+shingles to gather is told by a bitmap of fixed size, so texts are never shuffled, and only clusters' shingles are.
 
 The chance to lose a pair of similarity 0.8 is about (1 - 0.8^5)^30 = 7e-6, and less above.
 
 Null texts and texts without words have no class: they are alone, with no links. A null id never represents others unless all
-are null. Repeated rows count as copies. Texts of any length are taken whole.
+are null. Repeated rows count as copies. Texts of any length are taken whole, long ones in pieces that end at a space. An empty
+table gives no rows. Ids may be numbers or strings, whose order says which is the smallest. Only the id and the text are carried
+along, so names cannot clash. Row numbers hold only while docs give their rows in the same order each time they are read, as a
+written table does.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberframe.llm.common import by_batches, mix, runs, written
+from emberframe.llm.common import by_batches, mix, pieces, runs, written
 from emberframe.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, TOLERANCE, STEP = 30, 5, 1e-6, 15
-BLOCK = 200
+#: Members of a block, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 1_000, 1 << 22
 BITMAP_LOG2 = 23
 _SEED = 20240229
 _P = 0x9E3779B97F4A7C15
@@ -57,8 +63,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word and the number of words of each text."""
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [f"{t.lower()} " for t in texts]
     lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     flat = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -72,6 +77,17 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bincount(np.searchsorted(np.cumsum(lens), starts, side="right"), minlength=len(texts))
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word and the number of words of each text. Long texts are hashed piece by piece."""
+    parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
+    words, counts = [np.zeros(0, dtype=np.uint64)], np.zeros(len(texts), dtype=np.int64)
+    for a, b in runs([p for _, p in parts]):
+        found, n = _word_hashes([p for _, p in parts[a:b]])
+        words.append(found)
+        np.add.at(counts, [i for i, _ in parts[a:b]], n)
+    return np.concatenate(words), counts
+
+
 def shingles(words: np.ndarray, counts: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all shingles, and how many each text has: one for a text of 1 to n words."""
     begins = np.cumsum(counts) - counts
@@ -151,23 +167,27 @@ def similar(sets: list[np.ndarray], split: int | None, threshold: float = THRESH
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[back] > 1
-    column = np.cumsum(count > 1) - 1
+    use = count > 1
+    if split is not None:
+        first = np.bincount(back[owner < split], minlength=len(count))
+        use = (first > 0) & (first < count)
+    shared = use[back]
+    column = np.cumsum(use) - 1
     owner, column = owner[shared], column[back[shared]]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float64)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = 4096
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [first, first + width])
-        part = np.zeros((len(sets), width), dtype=np.float32)
-        part[owner[a:b], column[a:b] - first] = 1
-        common += part @ part.T
-    i, j = np.nonzero(np.triu(common, 1))
+    n, width = len(sets), 2048
+    upper = n if split is None else split
+    common = np.zeros((upper, n if split is None else n - split), dtype=np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [begin, begin + width])
+        part = np.zeros((n, int(column[b - 1]) + 1 - begin), dtype=np.float32)
+        part[owner[a:b], column[a:b] - begin] = 1
+        common += part[:upper] @ (part if split is None else part[split:]).T
+    i, j = np.nonzero(common if split is not None else np.triu(common, 1))
+    c = common[i, j].astype(np.float64)
     if split is not None:
-        cross = (i < split) & (j >= split)
-        i, j = i[cross], j[cross]
-    c = common[i, j]
+        j = j + split
     # c / union >= threshold, without a rounded division
     good = c >= threshold * (sizes[i] + sizes[j] - c) - 1e-9
     return i[good], j[good]
@@ -185,11 +205,11 @@ def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _blocks(members: DataFrame, group: str, size: DataFrame, block: int) -> DataFrame:
-    """members (group, key, ...) with x, y and own: which two blocks a task compares, and which one the member is of. size: group, n."""
-    dealt = members.join(size, group).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, group: str, size: DataFrame) -> DataFrame:
+    """members (group, key, ...) with x, y and own: which two blocks a task compares, and which one the member is of. size: group, blocks."""
+    dealt = members.join(size, group).withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return dealt.withColumn("partner", partner).withColumn("x", F.least("own", "partner")).withColumn("y", F.greatest("own", "partner")).drop("blocks", "n", "partner")
+    return dealt.withColumn("partner", partner).withColumn("x", F.least("own", "partner")).withColumn("y", F.greatest("own", "partner")).drop("blocks", "partner")
 
 
 def _signed(docs: DataFrame, text: str, id_column: str) -> DataFrame:
@@ -209,8 +229,8 @@ def _signed(docs: DataFrame, text: str, id_column: str) -> DataFrame:
                     out[i] = sig[k].tobytes()
                 yield pd.DataFrame({"row": pdf["row"].iloc[a:b], "id": pdf["id"].iloc[a:b], "key": own, "sig": out})
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return by_batches(numbered, sign, "row long, id long, key binary, sig binary")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
+    return by_batches(numbered, sign, T.StructType([T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_column].dataType), T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -231,8 +251,8 @@ def _candidate_edges(classes: DataFrame) -> DataFrame:
 
     bands = _bands(classes)
     size = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).filter("n > 1")
-    size = written(size.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "jaccard-buckets")
-    units = _blocks(bands, "bucket", size, BLOCK).join(classes.select("key", "sig"), "key")
+    size = written(size.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "jaccard-buckets")
+    units = _blocks(bands, "bucket", size).join(classes.select("key", "sig"), "key")
 
     def prune(pdf):
         pdf = pdf.sort_values("key", ignore_index=True)
@@ -291,11 +311,11 @@ def _verified(docs: DataFrame, text: str, clusters: DataFrame) -> DataFrame:
 
     sets = by_batches(docs.select(F.col(text).cast("string").alias("text")), gather, "key binary, shingles binary")
     members = clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
-    size = members.groupBy("cluster").agg(F.count("*").alias("n"))
     # copies share their key and shingles: one of them is enough
     one = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
     own = written(members.join(one, "key"), "jaccard-shingles")
-    units = _blocks(own, "cluster", size, BLOCK)
+    size = own.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("shingles").cast("long")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    units = _blocks(own, "cluster", size)
 
     def verify(pdf):
         one = pdf["x"].iat[0] == pdf["y"].iat[0]

@@ -27,8 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberframe.llm.common import by_batches, mix, pieces, runs, written
+from emberframe.llm.common import adding, by_batches, mix, pieces, runs, written
 
 UND = "und"
 #: The order of the n-grams; filter bits per n-gram, hash functions, and the most bits a filter may have (as a power of 2).
@@ -184,15 +185,5 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", *, order: int
 
 def predict(docs: DataFrame, filters: BitSlicedFilters, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; any columns of those names give way."""
-    from pyspark.sql import types as T
-
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     held = docs.sparkSession.sparkContext.broadcast(filters)
-
-    def run(batches):
-        for pdf in batches:
-            names, scores = held.value.predict([t if isinstance(t, str) else None for t in pdf[text]])
-            yield pdf.assign(lang_pred=names, score=scores)
-
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return by_batches(docs.select(*keep), run, schema)
+    return adding(docs, text, lambda: held.value.predict, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

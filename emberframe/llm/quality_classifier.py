@@ -7,20 +7,22 @@ square root of the bucket's share of its n-grams, so texts of any length have no
 Training takes at most ``rows_most`` labelled rows, chosen by a hash of the id, dealt by another to shards of about ``ROWS_SHARD`` rows; each
 shard makes FTRL-proximal updates row by row in the hash's order, and the shards' weights are averaged (parameter mixing).
 
-Null and empty texts have no n-grams: their score is the intercept's. Without labelled rows the score is 0.5. Rows whose label
-is neither 0 nor 1 are left out. Long texts are taken whole.
+Null and empty texts have no n-grams: their score is the intercept's. Without labelled rows (in an empty table, say) the score is
+0.5. Rows whose label is neither 0 nor 1 are left out; a repeated labelled row counts as often as it is there. Equal texts get
+equal scores, and repeated rows each give a row. Texts of any length are taken whole, long ones in pieces that end at a space. A
+score column of the input gives way, other columns are carried along.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import by_batches, hash_sample, mix, runs
+from emberframe.llm.common import adding, hash_sample, mix, pieces, runs
 
 LOG2, ROWS_SHARD, ROWS_MOST = 18, 2_000, 16_000
 #: Of the updates: learning rate, its offset, and the two penalties; passes over a shard.
@@ -35,7 +37,7 @@ def _kinds() -> np.ndarray:
     return np.array([0 if chr(i).isspace() else 1 if chr(i).isalnum() else 2 for i in range(0x110000)], dtype=np.int8)
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
     out = []
@@ -46,7 +48,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _piece_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each token and the number of the text that it is in."""
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     flat = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -61,6 +63,17 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(np.cumsum(lens), starts, side="right")
 
 
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As _piece_tokens; long texts piece by piece."""
+    parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
+    tokens, text = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for a, b in runs([p for _, p in parts]):
+        found, at = _piece_tokens([p for _, p in parts[a:b]])
+        tokens.append(found)
+        text.append(np.array([i for i, _ in parts[a:b]])[at])
+    return np.concatenate(tokens), np.concatenate(text)
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, bucket, value) of all non-zero entries, by text and bucket."""
     tokens, text = _tokens(texts)
@@ -128,11 +141,5 @@ def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_colum
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """docs with score; a column of that name gives way."""
-    keep = [c for c in docs.columns if c != "score"]
     held = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(score=scores([t if isinstance(t, str) else None for t in pdf[text]], held.value))
-
-    return by_batches(docs.select(*keep), run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
+    return adding(docs, text, lambda: lambda texts: [scores(texts, held.value)], [T.StructField("score", T.DoubleType())])

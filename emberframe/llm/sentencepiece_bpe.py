@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import by_batches, runs
+from emberframe.llm.common import adding, runs
 
 SPACE = "▁"
 #: Words in a worker's cache, and the length up to which a word is encoded together with others.
@@ -416,41 +416,43 @@ class Encoder:
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", *, add_begin: bool = True, add_end: bool = True, decoded: bool = True) -> DataFrame:
     """docs with ids (array of int) and, if wanted, decoded (string); any columns of those names give way."""
-    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded]
 
-    def add(pdf, ids, texts):
-        out = pdf.assign(ids=[i.astype(np.int32) for i in ids])
-        return out.assign(decoded=texts) if decoded else out
+    def give(ids, texts):
+        return [[i.astype(np.int32) for i in ids], *[texts] * decoded]
 
-    return _mapped(docs.select(*keep), model_path, text, add_begin, add_end, add, schema, decoded)
+    return _added(docs, model_path, text, add_begin, add_end, give, fields, decoded)
 
 
 def digests(docs: DataFrame, model_path: str, text: str = "text", *, id_column: str = "doc_id", add_begin: bool = True, add_end: bool = True) -> DataFrame:
     """For each row of docs: its id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256."""
-    import pandas as pd
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-    schema = T.StructType([docs.schema[id_column], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    def give(ids, texts):
+        return [[len(i) for i in ids], [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]]
 
-    def add(pdf, ids, texts):
-        return pd.DataFrame({id_column: pdf[id_column], "n_tokens": [len(i) for i in ids], "ids_sha256": [hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]})
+    found = _added(docs.select(id_column, text), model_path, text, add_begin, add_end, give, fields)
+    return found.select(id_column, *[f.name for f in fields])
 
-    return _mapped(docs.select(id_column, text), model_path, text, add_begin, add_end, add, schema)
 
-
-def _mapped(docs: DataFrame, model_path: str, text: str, add_begin: bool, add_end: bool, add, schema, decoded: bool = True) -> DataFrame:
+def _added(docs: DataFrame, model_path: str, text: str, add_begin: bool, add_end: bool, give, fields: list, decoded: bool = True) -> DataFrame:
     # The tables' size is that of the vocabulary, a few MB.
     model = docs.sparkSession.sparkContext.broadcast(PieceModel(model_path))
 
-    def run(batches):
+    def make():
         encoder = Encoder(model.value)
         first, last = [model.value.bos] * add_begin, [model.value.eos] * add_end
         begin, end = np.array(first, dtype=np.uint32), np.array(last, dtype=np.uint32)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf[text]]
+
+        def values(texts):
+            made, texts = [[] for _ in fields], [t or "" for t in texts]
             # a few million characters at a time, whatever the batch holds
             for a, b in runs(texts, PART_CHARS):
                 ids = [np.concatenate([begin, i, end]) for i in encoder.encode(texts[a:b])]
-                yield add(pdf.iloc[a:b], ids, [encoder.decode(i) for i in ids] if decoded else None)
+                for column, part in zip(made, give(ids, [encoder.decode(i) for i in ids] if decoded else None)):
+                    column += part
+            return made
+
+        return values
 
-    return by_batches(docs.withColumn(text, F.col(text).cast("string")), run, schema)
+    return adding(docs.withColumn(text, F.col(text).cast("string")), text, make, fields)

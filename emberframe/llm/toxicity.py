@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import by_batches, hash_sample, HashTable, logistic_fit, mix, pieces, runs
+from emberframe.llm.common import adding, by_batches, hash_sample, HashTable, logistic_fit, mix, pieces, runs
 
 ORDER, BITS = 6, 10
 #: Values of characters: a hash below MOD; a place before a word; the end of a word.
@@ -283,11 +283,5 @@ def learn(rows: DataFrame, text: str = "text", label: str = "label", *, id_colum
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score; a column of that name gives way."""
-    keep = [c for c in docs.columns if c != "score"]
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(score=held.value.scores([t if isinstance(t, str) else None for t in pdf[text]]))
-
-    return by_batches(docs.select(*keep), run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
+    return adding(docs, text, lambda: lambda texts: [held.value.scores(texts)], [T.StructField("score", T.DoubleType())])

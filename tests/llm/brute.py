@@ -210,3 +210,33 @@ def language_shares(text, sets):
         return {}
     grams = language_grams(text)
     return {lang: sum(g in own for g in grams) / max(1, len(grams)) for lang, own in sets.items()}
+
+
+def token_shares(text):
+    """The share of each word and pair of neighbours among all of a text; pairs of equal words are one kind."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+    kinds = Counter(tokens)
+    kinds.update(("same",) if a == b else (a, b) for a, b in zip(tokens, tokens[1:]))
+    return {k: n / sum(kinds.values()) for k, n in kinds.items()}
+
+
+class Ftrl:
+    """FTRL-proximal, a dictionary entry for each bucket."""
+
+    def __init__(self, features, alpha, beta, l1, l2):
+        self.features, self.alpha, self.beta, self.l1, self.l2 = features, alpha, beta, l1, l2
+        self.z, self.n = {}, {}
+
+    def weight(self, k):
+        z, n = self.z.get(k, 0.0), self.n.get(k, 0.0)
+        return 0.0 if abs(z) <= self.l1 else -(z - math.copysign(self.l1, z)) / ((self.beta + n**0.5) / self.alpha + self.l2)
+
+    def score(self, text):
+        return 1 / (1 + math.exp(-sum(self.weight(k) * x for k, x in [*self.features(text).items(), ("one", 1.0)])))
+
+    def learn(self, text, label):
+        p = self.score(text)
+        for k, x in [*self.features(text).items(), ("one", 1.0)]:
+            g, n, w = (p - label) * x, self.n.get(k, 0.0), self.weight(k)
+            step = ((n + g * g) ** 0.5 - n**0.5) / self.alpha
+            self.z[k], self.n[k] = self.z.get(k, 0.0) + g - step * w, n + g * g

@@ -183,6 +183,46 @@ def test_classifier_features_ignore_length_and_learn():
     assert s[0] > 0.7 > s[1]
 
 
+def test_classifier_equals_plain_dictionaries():
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(["a", "b", "Cd", "e!", "ff", "$$"]) for _ in range(rng.randint(1, 30))) for _ in range(25)] + ["", "x"]
+    labels = [float(rng.random() < 0.5) for _ in texts]
+    q = quality_classifier
+    model = brute.Ftrl(lambda t: dict(zip(*(x.tolist() for x in q.features([t])[1:]))) if t else {}, q.ALPHA, q.BETA, q.L1, q.L2)
+    for _ in range(q.PASSES):
+        for t, y in zip(texts, labels):
+            model.learn(t, y)
+    weights = q.train(texts, np.array(labels))
+    assert q.scores([*texts, None], weights) == pytest.approx([model.score(t) for t in [*texts, ""]], abs=1e-9)
+
+
+def test_classifier_counts_words_and_pairs(monkeypatch):
+    texts = [" ".join(f"w{i % 7}!" for i in range(90)), "one two", "x"]
+    expected = [brute.token_shares(t) for t in texts]
+    for chunk in (common.CHUNK_CHARS, 50):
+        monkeypatch.setattr(common, "CHUNK_CHARS", chunk)
+        row, bucket, value = quality_classifier.features(texts)
+        assert [sorted(value[row == k]) for k in range(3)] == [pytest.approx(sorted(x**0.5 for x in e.values())) for e in expected]
+
+
+def test_joined_words_do_not_depend_on_pieces(monkeypatch):
+    texts = [_words_of(random.Random(i), 300) for i in range(3)] + ["", "a  b\n c "]
+    words, counts = jaccard_join.word_hashes(texts)
+    monkeypatch.setattr(common, "CHUNK_CHARS", 64)
+    again, n = jaccard_join.word_hashes(texts)
+    assert (words == again).all() and counts.tolist() == n.tolist() == [len(t.split()) for t in texts]
+
+
+def test_ids_of_any_kind_keep_their_values(spark):
+    text = "one two three four five six seven eight nine ten"
+    named = jaccard_join.join(spark.createDataFrame([("b", text), ("a", text), (None, text), ("c", "other words")], "doc_id string, text string"))
+    assert sorted((r["id"] or "", r["class_id"]) for r in named.collect()) == [("", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+    big = spark.createDataFrame([(2**60 + 1, text), (None, text), (2**60 + 3, None)], "doc_id long, text string").coalesce(1)
+    assert {r["id"] for r in jaccard_join.join(big).collect()} == {2**60 + 1, 2**60 + 3, None}
+    scored = quality_classifier.score(big, np.zeros((1 << quality_classifier.LOG2) + 1))
+    assert {r["doc_id"] for r in scored.collect()} == {2**60 + 1, 2**60 + 3, None}
+
+
 def test_random_strings_are_told_from_identifiers(spark):
     some, rng = ["alpha", "house", "river", "account", "number", "manager", "update", "value", "with", "request", "handler", "index"], random.Random(17)
     words = " ".join(rng.choice(some) for _ in range(240))
