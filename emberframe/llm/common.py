@@ -85,6 +85,16 @@ def adding(docs: DataFrame, text: str, make, fields: list[T.StructField]) -> Dat
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+#: Rows with a key and little else up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, marked for broadcast if it has ``most`` (BROADCAST_ROWS) rows or fewer. df must be cheap to count, as a written table is."""
+    most = most or BROADCAST_ROWS
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberframe.llm.common import by_batches, mix, pieces, runs, written
+from emberframe.llm.common import by_batches, few, mix, pieces, runs, written
 from emberframe.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -351,9 +351,9 @@ def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Data
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of docs that their class keeps: all columns, one row of each class. docs must give its rows in the same order each time it is read, as a written table does."""
+    """The rows of docs that their class keeps: all columns, one row of each class. docs must give its rows in the same order each time it is read, as a written table does. The numbers of the rows that go are broadcast up to BROADCAST_ROWS; beyond, they are joined by shuffling."""
     number = "_row_of_docs"
     while number in docs.columns:
         number += "_"
-    kept = join(docs, text, id_column).filter("row = first_row").select(F.col("row").alias(number))
-    return docs.withColumn(number, F.monotonically_increasing_id()).join(kept, number, "left_semi").drop(number)
+    gone = written(join(docs, text, id_column).filter("row != first_row").select(F.col("row").alias(number)), "jaccard-gone")
+    return docs.withColumn(number, F.monotonically_increasing_id()).join(few(gone), number, "left_anti").drop(number)
