@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows its predecessor kept, and its result is written and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Rows are told apart by number, not by doc_id, so null and repeated ids do no harm; numbers hold while docs give their rows in the same
+order each time they are read, as written tables do. What is found about few rows (their numbers, their spans) is broadcast behind
+a count and joined by shuffling beyond it, so texts are not shuffled to drop or mark some of them. Columns beside those of
+documents are carried along, whatever their names; empty documents give empty results.
 """
 
 from __future__ import annotations
@@ -10,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.llm import decontamination, jaccard_join, language_id, secrets, sentencepiece_bpe
-from emberframe.llm.common import table, written
+from emberframe.llm.common import few, table, written
 from emberframe.llm.queries import piece_model
 
 #: The least share of a text's n-grams that its language must know.
 MIN_LANGUAGE_SCORE = 0.2
 
+#: Spans of all texts up to which they are broadcast.
+BROADCAST_SPANS = 200_000
+
 
 def _unused(docs: DataFrame, name: str) -> str:
     """The name, with as many underscores after it as it takes to be none of the columns'."""
@@ -47,19 +55,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share a window of words with the benchmark go."""
+    """Rows that share a window of words with the benchmark go; null and empty texts, which have no words, stay."""
     own, row = _numbered(docs)
     leaks = decontamination.hits(own, table(spark, sf_dir, "benchmark"), keep=(row,)).filter(F.size("places") > 0).select(row)
-    return own.join(leaks, row, "left_anti").drop(row)
+    return own.join(few(written(leaks, "pipeline-leaks")), row, "left_anti").drop(row)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows stay; secrets in their texts give way to a mark, and n_chars follows."""
+    """All rows stay; secrets in their texts give way to a mark, and n_chars follows. Null and empty texts stay as they are."""
     own, row = _numbered(docs)
     model = secrets.train(secrets.random_strings(spark).unionByName(secrets.identifiers(docs)))
     spans = _unused(docs, "_spans")
     found = secrets.spans(own, model, keep=(row,)).filter(F.size("spans") > 0).select(row, F.col("spans").alias(spans))
-    joined = own.join(found, row, "left")
+    found = written(found, "pipeline-spans")
+    small = (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS
+    joined = own.join(F.broadcast(found) if small else found, row, "left")
     text = F.when(F.col(spans).isNotNull(), secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
