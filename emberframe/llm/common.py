@@ -46,6 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 24
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Asks the session for batches of BATCH_ROWS rows, since the JVM builds them too. Nothing relies on it, and a size that the session was built with stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name) and not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _slices(batches):
     """Arrow batches, whatever size the session gives them, in slices of BATCH_ROWS rows at most."""
     for batch in batches:
@@ -57,6 +64,7 @@ def _slices(batches):
 def by_batches(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """function: from an iterator of pandas frames of BATCH_ROWS rows at most to such of the schema. Whole numbers stay exact beside nulls."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    _bounded(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -72,6 +80,7 @@ def adding(docs: DataFrame, text: str, make, fields: list[T.StructField]) -> Dat
     """docs with more columns, which give way to columns of the same names. make() gives, once a task, a function from a list of texts (None for what isn't a string) to a list of values for each field. Other columns pass through untouched."""
     keep = [c for c in docs.columns if c not in {f.name for f in fields}]
     schema = T.StructType([*(docs.schema[c] for c in keep), *fields])
+    _bounded(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -28,7 +28,7 @@ from emberframe.llm.common import adding, runs
 
 SPACE = "▁"
 #: Words in a worker's cache, and the length up to which a word is encoded together with others.
-CACHE_WORDS, BATCH_LEN = 500_000, 40
+CACHE_WORDS, BATCH_LEN = 200_000, 40
 #: Characters whose ids a worker holds at once.
 PART_CHARS = 1 << 22
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
