@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = tuple[Column, Column, Column]
@@ -33,10 +33,30 @@ def norm(a: Vector) -> Column:
 class Box:
     """An orthorhombic cell in the columns lx, ly, lz of the frames."""
 
-    columns = ("lx", "ly", "lz")
+    columns: tuple[str, ...] = ("lx", "ly", "lz")
+
+    def __init__(self, get: Callable[[str], Column] = F.col):
+        """get: from the name of a cell's column to the column, where it is not one of the row's own."""
+        self.get = get
 
     def lengths(self) -> Vector:
-        return F.col("lx"), F.col("ly"), F.col("lz")
+        return self.get("lx"), self.get("ly"), self.get("lz")
+
+    def rounded(self, d: Vector) -> Vector:
+        """The image in the cell around the origin, by rounding: the nearest one in a box."""
+        return self.mic(d)
+
+    def fractional(self, p: Vector) -> Vector:
+        return tuple(x / length for x, length in zip(p, self.lengths()))  # type: ignore[return-value]
+
+    def heights(self) -> Vector:
+        """The distances between opposite faces."""
+        return self.lengths()
+
+    def matrix(self) -> Column:
+        """The cell's vectors as an array of rows."""
+        zero = F.lit(0.0)
+        return F.array(*[F.array(*[length.cast("double") if i == k else zero for k in range(3)]) for i, length in enumerate(self.lengths())])
 
     def mic(self, d: Vector) -> Vector:
         """The nearest image: each component less a whole number of lengths, rounded half to even."""
@@ -46,13 +66,15 @@ class Box:
         return tuple(x - length * F.floor(x / length) for x, length in zip(p, self.lengths()))  # type: ignore[return-value]
 
     def volume(self) -> Column:
-        return F.abs(F.col("lx") * F.col("ly") * F.col("lz"))
+        x, y, z = self.lengths()
+        return F.abs(x * y * z)
 
     def mean_length(self) -> Column:
-        return (F.col("lx") + F.col("ly") + F.col("lz")) / 3.0
+        x, y, z = self.lengths()
+        return (x + y + z) / 3.0
 
     def center(self) -> Vector:
-        return F.col("lx") / 2.0, F.col("ly") / 2.0, F.col("lz") / 2.0
+        return tuple(length / 2.0 for length in self.lengths())  # type: ignore[return-value]
 
 
 class Cell(Box):
@@ -61,9 +83,9 @@ class Cell(Box):
     columns = ("cell",)
 
     def _rows(self) -> list[Vector]:
-        return [tuple(F.col("cell")[i][k] for k in range(3)) for i in range(3)]  # type: ignore[misc]
+        return [tuple(self.get("cell")[i][k] for k in range(3)) for i in range(3)]  # type: ignore[misc]
 
-    def _fractional(self, d: Vector) -> Vector:
+    def fractional(self, d: Vector) -> Vector:
         a, b, c = self._rows()
         det = dot(a, cross(b, c))
         return dot(d, cross(b, c)) / det, dot(d, cross(c, a)) / det, dot(d, cross(a, b)) / det
@@ -72,8 +94,19 @@ class Cell(Box):
         rows = self._rows()
         return tuple(f[0] * rows[0][k] + f[1] * rows[1][k] + f[2] * rows[2][k] for k in range(3))  # type: ignore[return-value]
 
+    def heights(self) -> Vector:
+        a, b, c = self._rows()
+        volume = self.volume()
+        return volume / norm(cross(b, c)), volume / norm(cross(c, a)), volume / norm(cross(a, b))
+
+    def matrix(self) -> Column:
+        return self.get("cell")
+
+    def rounded(self, d: Vector) -> Vector:
+        return self._cartesian(tuple(f - F.rint(f) for f in self.fractional(d)))  # type: ignore[arg-type]
+
     def mic(self, d: Vector) -> Vector:
-        near = self._cartesian(tuple(f - F.rint(f) for f in self._fractional(d)))  # type: ignore[arg-type]
+        near = self.rounded(d)
         rows, images = self._rows(), []
         for i in (0, -1, 1):
             for j in (0, -1, 1):
@@ -84,7 +117,7 @@ class Cell(Box):
         return best["x"], best["y"], best["z"]
 
     def wrap(self, p: Vector) -> Vector:
-        return self._cartesian(tuple(f - F.floor(f) for f in self._fractional(p)))  # type: ignore[arg-type]
+        return self._cartesian(tuple(f - F.floor(f) for f in self.fractional(p)))  # type: ignore[arg-type]
 
     def volume(self) -> Column:
         a, b, c = self._rows()
@@ -108,7 +141,15 @@ class Open(Box):
         return d
 
 
-BOX = Box()
+BOX, CELL = Box(), Cell()
+
+
+def cell_of(frames: DataFrame) -> Box:
+    """The kind of cell that frames need: BOX if they have lengths and no cell, or only cells along the axes; else CELL."""
+    if "cell" not in frames.columns:
+        return BOX if "lx" in frames.columns else Open()
+    slanted = F.exists(F.flatten(F.transform("cell", lambda row, i: F.filter(row, lambda x, k: k != i))), lambda x: x != 0.0)
+    return CELL if "lx" not in frames.columns or not frames.filter(slanted).isEmpty() else BOX
 
 
 def angle(a: Vector, b: Vector) -> Column:

@@ -22,7 +22,7 @@ def default_rmax(frames: DataFrame, box: G.Box = G.BOX) -> float:
 
 def rdf_partial(centers: DataFrame, targets: DataFrame, frames: DataFrame, n: int, dr: float, *, box: G.Box = G.BOX) -> tuple[DataFrame, DataFrame]:
     """Counts (bin, hits) and one row of additive totals (norm, density, frames): they add up over parts of a trajectory."""
-    near = pairs(centers, targets, frames, box=box, carry=()).filter("a_idx <> b_idx")
+    near = pairs(centers, targets, frames, box=box, carry=(), cutoff=n * dr).filter("a_idx <> b_idx")
     counts = near.select(G.bin_of(F.col("d"), 0.0, n * dr, n).alias("bin")).filter("bin is not null").groupBy("bin").agg(F.count("*").alias("hits"))
     c = centers.groupBy(FRAME).agg(F.count("*").alias("nc"))
     t = targets.groupBy(FRAME).agg(F.count("*").alias("nt"))
@@ -53,7 +53,7 @@ def rdf_blocks(centers: DataFrame, targets: DataFrame, frames: DataFrame, block:
     """bin, r, g, stderr, n_blocks: mean and standard error of the distributions of blocks of frames; one join for all blocks."""
     n = len(G.edges(rmax, dr)) - 1
     number = F.floor(F.col(FRAME) / block).cast("int").alias("block")
-    near = pairs(centers, targets, frames, box=box, carry=()).filter("a_idx <> b_idx")
+    near = pairs(centers, targets, frames, box=box, carry=(), cutoff=n * dr).filter("a_idx <> b_idx")
     counts = near.select(number, G.bin_of(F.col("d"), 0.0, n * dr, n).alias("bin")).filter("bin is not null").groupBy("block", "bin").agg(F.count("*").alias("hits"))
     c, t = centers.groupBy(FRAME).agg(F.count("*").alias("nc")), targets.groupBy(FRAME).agg(F.count("*").alias("nt"))
     norms = c.join(t, FRAME).join(frames.select(FRAME, *box.columns), FRAME).groupBy(number).agg(F.sum(F.col("nc") * F.col("nt") / box.volume()).alias("norm"))
@@ -94,7 +94,7 @@ def rdf_shells(curve: DataFrame, *, peak_min_g: float = 0.5, smooth_sigma: float
 def pairs_at_distance(centers: DataFrame, targets: DataFrame, frames: DataFrame, r_min: float, r_max: float, *, same: bool = False, stride: int = 1, box: G.Box = G.BOX) -> DataFrame:
     """frame_id, center, target, d with r_min <= d <= r_max; same says that both are one selection, whose pairs count once."""
     at = frames if stride == 1 else frames.filter(F.col(FRAME) % stride == 0)
-    near = pairs(centers, targets, at, box=box, carry=()).filter(F.col("d").between(r_min, r_max))
+    near = pairs(centers, targets, at, box=box, carry=(), cutoff=r_max).filter(F.col("d") >= r_min)
     if same:
         near = near.filter("a_idx < b_idx")
     return near.select(FRAME, F.col("a_idx").alias("center"), F.col("b_idx").alias("target"), "d")
@@ -177,7 +177,8 @@ def adf(found: DataFrame, bins: int = 90, low: float = 80.0, high: float = 140.0
 def tetrahedral_order(atoms: DataFrame, frames: DataFrame, element: str = "O", n_neighbors: int = 4, rcut: float = 3.7, *, box: G.Box = G.BOX) -> DataFrame:
     """frame_id, q: the mean over atoms whose n-th neighbour of the same element is within rcut; null if none has one."""
     own = atoms.filter(F.col("element") == element)
-    near = pairs(own, own, frames, box=box, carry=()).filter("a_idx <> b_idx")
+    # an atom counts if its n nearest lie within rcut, so farther ones need not be looked at
+    near = pairs(own, own, frames, box=box, carry=(), cutoff=rcut).filter("a_idx <> b_idx")
     ranked = near.withColumn("k", F.row_number().over(W.partitionBy(FRAME, "a_idx").orderBy("d", "b_idx"))).filter(F.col("k") <= n_neighbors)
     each = ranked.groupBy(FRAME, "a_idx").agg(F.sort_array(F.collect_list(F.struct("k", "dx", "dy", "dz", "d"))).alias("v"), F.max("d").alias("far")).filter((F.size("v") == n_neighbors) & (F.col("far") <= rcut))
     terms = []
@@ -197,7 +198,7 @@ def hbonds(atoms: DataFrame, topo: DataFrame, frames: DataFrame, r_ha: float = 2
     """frame_id, donor, h, acceptor: the donor is the first O of the H's molecule, acceptors are other O nearer than r_ha."""
     donors = atoms.filter("element = 'O'").join(topo, [FRAME, "atom_idx"]).groupBy(FRAME, "mol_id").agg(F.min("atom_idx").alias("donor"))
     h = atoms.filter("element = 'H'").join(topo, [FRAME, "atom_idx"]).join(donors, [FRAME, "mol_id"])
-    near = pairs(h, atoms.filter("element = 'O'").withColumn("donor", F.lit(None).cast("int")), frames, box=box, carry=("donor",))
+    near = pairs(h, atoms.filter("element = 'O'").withColumn("donor", F.lit(None).cast("int")), frames, box=box, carry=("donor",), cutoff=r_ha)
     return near.filter((F.col("d") < r_ha) & (F.col("a_donor") != F.col("b_idx"))).select(FRAME, F.col("a_donor").alias("donor"), F.col("a_idx").alias("h"), F.col("b_idx").alias("acceptor"))
 
 

@@ -1,18 +1,20 @@
 """Molecules from distances, frame by frame.
 
-Bonds are an equi-join on the frame with the distance as residual; ``pairs_within`` cuts large frames into cells first.
-Components are found inside one row per frame, by joining labels bond by bond, so a frame costs one shuffle and no iteration over
-jobs; frames of many thousand atoms go through ``iterative_components``.
+Pairs are an equi-join with the distance as residual. Where a cutoff is known the key is the frame and a cell of at least the
+cutoff's width, so rows grow with the atoms and no task gets a whole large frame; along an axis shorter than three cutoffs there is
+one cell, and in small frames the key is the frame alone. Components are found by numpy, many frames at a time, in time near linear
+in a frame's bonds; frames whose bonds don't fit a task go through ``iterative_components``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions import geometry as G
-from emberframe.functions.elements import LIGANDS, formula_of, radius
+from emberframe.functions.elements import LIGANDS, RADII, formula_of, radius
 from emberframe.operators.selectors import FRAME
 
 #: Padding of each radius in the neighbour search: by distance rules of molecules, and by those of coordination spheres.
@@ -26,61 +28,95 @@ def _sides(atoms: DataFrame, other: DataFrame | None = None, carry: tuple[str, .
     return side(atoms, "a_"), side(atoms if other is None else other, "b_")
 
 
-def pairs(a: DataFrame, b: DataFrame, frames: DataFrame, *, box: G.Box = G.BOX, carry: tuple[str, ...] = ("element",)) -> DataFrame:
-    """All pairs of atoms of a and b in one frame, with the nearest image's displacement (dx, dy, dz) from a to b and d."""
-    left, right = _sides(a, b, carry)
-    both = left.join(right, FRAME).join(frames.select(FRAME, *box.columns), FRAME)
-    dx, dy, dz = box.mic(G.minus(G.vector("b_"), G.vector("a_")))
-    return both.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("d", G.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
+def _in_cells(df: DataFrame, p: str, own: DataFrame, box: G.Box, spread: bool) -> DataFrame:
+    """df with its atoms' cells cx, cy, cz; with spread, once for each cell around."""
+    placed = df.join(own, FRAME)
+    for axis, f in zip("xyz", box.fractional(G.vector(p))):
+        n = F.col(f"n{axis}")
+        placed = placed.withColumn(f"c{axis}", F.least(F.floor((f - F.floor(f)) * n).cast("int"), n - 1))
+    if spread:
+        for axis in "xyz":
+            n = F.col(f"n{axis}")
+            step = F.explode(F.when(n == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+            placed = placed.withColumn("step", step).withColumn(f"c{axis}", F.pmod(F.col(f"c{axis}") + F.col("step"), n)).drop("step")
+        placed = placed.drop(*box.columns)
+    return placed.drop("nx", "ny", "nz")
 
 
-def pairs_within(a: DataFrame, b: DataFrame, frames: DataFrame, cutoff: float, carry: tuple[str, ...] = ("element",)) -> DataFrame:
-    """pairs with d < cutoff in orthorhombic boxes of at least three cutoffs, joined by cells of at least a cutoff's width: each atom of b goes to 27 cells, so rows grow with the atoms, not with their square."""
-    box = G.BOX
+def pairs(a: DataFrame, b: DataFrame, frames: DataFrame, *, box: G.Box = G.BOX, carry: tuple[str, ...] = ("element",), cutoff: float | None = None) -> DataFrame:
+    """All pairs of atoms of a and b in one frame, with the nearest image's displacement (dx, dy, dz) from a to b and d; with a cutoff, those with d <= cutoff."""
     left, right = _sides(a, b, carry)
-    own = frames.select(FRAME, *box.columns, *[F.greatest(F.floor(F.col(c) / cutoff), F.lit(3)).cast("int").alias(f"n{c}") for c in box.columns])
-
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        placed = df.join(own, FRAME)
-        for axis, c in zip("xyz", box.columns):
-            u = F.col(f"{p}{axis}") / F.col(c)
-            placed = placed.withColumn(f"c{axis}", F.least(F.floor((u - F.floor(u)) * F.col(f"n{c}")).cast("int"), F.col(f"n{c}") - 1))
-        return placed
-
-    right = cells(right, "b_")
-    for axis, c in zip("xyz", box.columns):
-        right = right.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"c{axis}", F.pmod(F.col(f"c{axis}") + F.col("step"), F.col(f"n{c}"))).drop("step")
-    right = right.drop(*box.columns, *[f"n{c}" for c in box.columns])
-    both = cells(left, "a_").join(right, [FRAME, "cx", "cy", "cz"])
+    cells = frames.select(FRAME, *box.columns)
+    if cutoff is None or not box.columns:
+        both = left.join(right, FRAME).join(cells, FRAME)
+    else:
+        # cells a little wider than the cutoff: rounding must not part a pair from its neighbour
+        wide = cutoff * (1 + 1e-9) + 1e-12
+        own = cells.withColumns({f"n{axis}": F.when(h >= 3 * wide, F.least(F.floor(h / wide), F.lit(1 << 20))).otherwise(1).cast("int") for axis, h in zip("xyz", box.heights())})
+        both = _in_cells(left, "a_", own, box, False).join(_in_cells(right, "b_", own, box, True), [FRAME, "cx", "cy", "cz"]).drop("cx", "cy", "cz")
     dx, dy, dz = box.mic(G.minus(G.vector("b_"), G.vector("a_")))
-    both = both.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("d", G.norm((F.col("dx"), F.col("dy"), F.col("dz")))).filter(F.col("d") < cutoff)
-    return both.drop("cx", "cy", "cz", *[f"n{c}" for c in box.columns])
+    both = both.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("d", G.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
+    return both if cutoff is None else both.filter(F.col("d") <= cutoff)
+
+
+def pairs_within(a: DataFrame, b: DataFrame, frames: DataFrame, cutoff: float, carry: tuple[str, ...] = ("element",), *, box: G.Box = G.BOX) -> DataFrame:
+    """pairs with d < cutoff."""
+    return pairs(a, b, frames, box=box, carry=carry, cutoff=cutoff).filter(F.col("d") < cutoff)
 
 
 def bonds(atoms: DataFrame, frames: DataFrame, *, scale: float = 1.0, skin: float = SKIN, centers: list[str] | None = None, box: G.Box = G.BOX) -> DataFrame:
     """frame_id, i, j (i < j), d: atoms nearer than scale times the sum of their radii plus two skins. Elements in centers have radius 0."""
 
-    def r(c: str) -> Column:
-        own = radius(F.col(c))
-        return F.when(F.col(c).isin(centers), F.lit(0.0)).otherwise(own) if centers else own
-
-    near = pairs(atoms, atoms, frames, box=box).filter("a_idx < b_idx").filter(F.col("d") < scale * (r("a_element") + r("b_element")) + 2 * skin)
+    own = radius(F.col("element"))
+    if centers:
+        own = F.when(F.col("element").isin(centers), F.lit(0.0)).otherwise(own)
+    sized = atoms.select(FRAME, "atom_idx", "x", "y", "z", own.alias("radius"))
+    longest = scale * 2 * max(RADII.values()) + 2 * skin
+    near = pairs(sized, sized, frames, box=box, carry=("radius",), cutoff=longest).filter("a_idx < b_idx").filter(F.col("d") < scale * (F.col("a_radius") + F.col("b_radius")) + 2 * skin)
     return near.select(FRAME, F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), "d")
 
 
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, by spreading labels and jumping to labels' labels."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        # a root takes the smallest label that any of its nodes' bonds lead to
+        np.minimum.at(label, before[i], low)
+        np.minimum.at(label, before[j], low)
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+        if (label == before).all():
+            return label
+
+
 def components(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """frame_id, atom_idx, mol_id: components of each frame's edges; molecules are numbered by their smallest atom. Atoms are numbered from 0."""
     spine = atoms.groupBy(FRAME).agg(F.max("atom_idx").alias("last"))
-    linked = edges.groupBy(FRAME).agg(F.collect_list(F.struct("i", "j")).alias("e"))
-    frames = spine.join(linked, FRAME, "left")
-
-    def join(labels: Column, e: Column) -> Column:
-        a, b = F.get(labels, e["i"]), F.get(labels, e["j"])
-        low, high = F.least(a, b), F.greatest(a, b)
-        return F.when(a == b, labels).otherwise(F.transform(labels, lambda x: F.when(x == high, low).otherwise(x)))
-
-    labels = F.aggregate(F.coalesce("e", F.array().cast("array<struct<i:int,j:int>>")), F.sequence(F.lit(0), F.col("last")), join)
-    found = frames.select(FRAME, labels.alias("l")).select(FRAME, F.posexplode("l").alias("atom_idx", "label"))
+    linked = edges.groupBy(FRAME).agg(F.collect_list(F.struct("i", "j")).alias("e")).select(FRAME, F.transform("e", lambda e: e["i"]).alias("i"), F.transform("e", lambda e: e["j"]).alias("j"))
+
+    def label(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            size = pdf["last"].to_numpy() + 1
+            base = np.cumsum(size) - size
+            ends = []
+            for c in "ij":
+                lists = [np.zeros(0, dtype=np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in pdf[c]]
+                ends.append(np.concatenate([b + x for b, x in zip(base, lists)]))
+            found = _labels(int(size.sum()), *ends)
+            frame = np.repeat(np.arange(len(pdf)), size)
+            yield pd.DataFrame({FRAME: pdf[FRAME].to_numpy()[frame], "atom_idx": np.arange(len(found)) - base[frame], "label": found - base[frame]})
+
+    kind = atoms.schema[FRAME].dataType.simpleString()
+    found = spine.join(linked, FRAME, "left").mapInPandas(label, f"{FRAME} {kind}, atom_idx int, label int")
     found = found.join(atoms.select(FRAME, "atom_idx"), [FRAME, "atom_idx"])
     return found.withColumn("mol_id", (F.dense_rank().over(W.partitionBy(FRAME).orderBy("label")) - 1).cast("int")).select(FRAME, "atom_idx", "mol_id")
 
@@ -97,6 +133,8 @@ def iterative_components(atoms: DataFrame, edges: DataFrame, most_rounds: int =
         labels = step.select(FRAME, "a", "label")
         if step.filter("label != old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"no components after {most_rounds} rounds")
     return labels.withColumn("mol_id", (F.dense_rank().over(W.partitionBy(FRAME).orderBy("label")) - 1).cast("int")).select(FRAME, F.col("a").alias("atom_idx"), "mol_id")
 
 
@@ -120,7 +158,7 @@ def build_spheres(atoms: DataFrame, frames: DataFrame, cutoffs: dict[tuple[str,
     for (a, b), d in cutoffs.items():
         limit = F.when((F.col("a_element") == a) & (F.col("b_element") == b), F.lit(d)).otherwise(limit)
     centers, ligands = sorted({a for a, _ in cutoffs}), sorted({b for _, b in cutoffs})
-    near = pairs(atoms.filter(F.col("element").isin(centers)), atoms.filter(F.col("element").isin(ligands)), frames, box=box).filter(F.col("d") < limit).filter("a_idx <> b_idx")
+    near = pairs(atoms.filter(F.col("element").isin(centers)), atoms.filter(F.col("element").isin(ligands)), frames, box=box, cutoff=max(cutoffs.values(), default=0.0)).filter(F.col("d") < limit).filter("a_idx <> b_idx")
     sphere = near.select(FRAME, F.least("a_idx", "b_idx").alias("i"), F.greatest("a_idx", "b_idx").alias("j"), "d")
     return components(atoms, covalent.unionByName(sphere))
 
@@ -133,7 +171,7 @@ def sphere_samples(n_frames: int) -> int:
 def detect_sphere_cutoffs(atoms: DataFrame, frames: DataFrame, centers: list[str], *, ligands: list[str] = LIGANDS, rmax: float = 5.0, dr: float = 0.05, box: G.Box = G.BOX) -> DataFrame:
     """center, ligand, cutoff, peak: the first minimum after the first peak of the smoothed histogram of distances; pairs without one are absent."""
     n = len(G.edges(rmax, dr)) - 1
-    near = pairs(atoms.filter(F.col("element").isin(centers)), atoms.filter(F.col("element").isin(ligands)), frames, box=box).filter("d > 0.3")
+    near = pairs(atoms.filter(F.col("element").isin(centers)), atoms.filter(F.col("element").isin(ligands)), frames, box=box, cutoff=n * dr).filter("d > 0.3")
     counts = near.withColumn("bin", G.bin_of(F.col("d"), 0.0, n * dr, n)).filter("bin is not null").groupBy(F.col("a_element").alias("center"), F.col("b_element").alias("ligand"), "bin").agg(F.count("*").alias("c"))
     spine = counts.select("center", "ligand").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     half = max(1, round(0.25 / dr)) // 2

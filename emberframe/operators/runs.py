@@ -118,7 +118,7 @@ def coordination_dynamics(atoms: DataFrame, topo: DataFrame, element: str = "O")
 
 def nearest_host(tracked: DataFrame, hosts: DataFrame, frames: DataFrame, cutoff: float, *, box: G.Box = G.BOX) -> DataFrame:
     """entity, t, state: the nearest host of each tracked atom below the cutoff, else null; ties go to the smallest index."""
-    near = pairs(tracked, hosts, frames, box=box, carry=()).filter((F.col("a_idx") != F.col("b_idx")) & (F.col("d") < cutoff))
+    near = pairs(tracked, hosts, frames, box=box, carry=(), cutoff=cutoff).filter((F.col("a_idx") != F.col("b_idx")) & (F.col("d") < cutoff))
     best = near.groupBy(FRAME, F.col("a_idx").alias("atom_idx")).agg(F.min(F.struct("d", "b_idx")).alias("m")).select(FRAME, "atom_idx", F.col("m.b_idx").alias("state"))
     return tracked.select(FRAME, "atom_idx").join(best, [FRAME, "atom_idx"], "left").select(F.col("atom_idx").alias("entity"), F.col(FRAME).alias("t"), "state")
 
