@@ -14,16 +14,18 @@ from emberframe.sources import trajectory as sources
 
 
 class Trajectory:
-    """frames (frame_id, lx, ly, lz) and atoms (frame_id, atom_idx, element, x, y, z), with topo given or perceived. Everything is lazy."""
+    """frames (frame_id and lx, ly, lz or cell) and atoms (frame_id, atom_idx, element, x, y, z), with topo given or perceived. Everything is lazy; box, if not given, is what the frames' cells need."""
 
-    def __init__(self, frames: DataFrame, atoms: DataFrame, topo: DataFrame | None = None, *, mode: str = "molecular", covalent_scale: float = 1.0, coordination_scale: float = 1.3, sphere_cutoffs: dict | None = None, persistence: int = 1, max_frames: int | None = None, box: G.Box = G.BOX):
+    def __init__(self, frames: DataFrame, atoms: DataFrame, topo: DataFrame | None = None, *, mode: str = "molecular", covalent_scale: float = 1.0, coordination_scale: float = 1.3, sphere_cutoffs: dict | None = None, persistence: int = 1, max_frames: int | None = None, box: G.Box | None = None):
         self.frames, self.atoms = selectors.truncated(frames, max_frames), selectors.truncated(atoms, max_frames)
-        self.given, self.mode, self.scales, self.persistence, self.box = topo, mode, (covalent_scale, coordination_scale), persistence, box
+        self.given, self.mode, self.scales, self.persistence, self._box = topo, mode, (covalent_scale, coordination_scale), persistence, box
         self.cutoffs = selectors.parse_cutoffs(sphere_cutoffs) if sphere_cutoffs else None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, **options) -> Trajectory:
         """Extended-XYZ files, or a folder of saved tables."""
+        if path.endswith((".traj", ".h5", ".hdf5", ".nc", ".dcd", ".cif", ".pdb", ".vasp")):
+            raise ValueError(f"not a format that is read here: {path!r}; write extended XYZ, or Parquet tables frames and atoms")
         if path.endswith(".xyz"):
             return cls(*sources.read_xyz(spark, path, options.get("max_frames")), **options)
         found = {name: spark.read.parquet(f"{path}/{name}") for name in ("frames", "atoms")}
@@ -43,6 +45,10 @@ class Trajectory:
             found = sources.load(spark, cache, key)
         return cls(found["frames"], found["atoms"], found["topo"], **options)
 
+    @cached_property
+    def box(self) -> G.Box:
+        return self._box or G.cell_of(self.frames)
+
     @cached_property
     def n_frames(self) -> int:
         return self.frames.count()
@@ -81,6 +87,13 @@ class Trajectory:
     def lifetime_segments(self) -> DataFrame:
         return runs.lifetime_segments(self.mols)
 
+    def segment_frames(self, formula: str, number: int) -> DataFrame:
+        """The frames of one segment of a formula; negative numbers count from the last."""
+        return runs.segment_frames(self.frames, self.lifetime_segments(), formula, number)
+
+    def reaction_kinetics(self, formulas: list[str] | None = None, dt: float = 1.0) -> DataFrame:
+        return runs.reaction_kinetics(self.lifetime_segments(), self.n_frames, dt, formulas)
+
     def reaction_window(self, formula: str, number: int, buffer: int = 10, event: str = "birth") -> tuple[DataFrame, int]:
         own = self.lifetime_segments().filter(F.col("formula") == formula)
         start, _ = runs.segment(own, formula, number)
@@ -112,7 +125,7 @@ class Trajectory:
         return runs.hop_species_distances(hops, self.atoms, self.mols, self.frames, formula, reference, box=self.box)
 
     def tracks(self, formula: str, **options) -> DataFrame:
-        return tracks.greedy_tracks(self.mols, self.lifetime_segments(), self.frames, [formula], **options)
+        return tracks.greedy_tracks(self.mols, self.lifetime_segments(), self.frames, [formula], box=self.box, **options)
 
     def msd(self, formula: str, **options) -> DataFrame:
         segments = self.lifetime_segments().filter(F.col("formula") == formula)
@@ -121,7 +134,7 @@ class Trajectory:
     def van_hove(self, formula: str, *, stitch: bool = False, stitch_max_gap: int = 50, stitch_max_jump: float = 4.0, **options) -> DataFrame:
         own = self.tracks(formula)
         if stitch:
-            chains, _ = tracks.stitch(own, self.mols, self.lifetime_segments(), self.frames, formula, max_gap=stitch_max_gap, max_jump=stitch_max_jump)
+            chains, _ = tracks.stitch(own, self.mols, self.lifetime_segments(), self.frames, formula, max_gap=stitch_max_gap, max_jump=stitch_max_jump, box=self.box)
             return correlation.van_hove(chains, keys=("chain",), **options)
         return correlation.van_hove(own, keys=("segment", "track"), **options)
 

@@ -105,15 +105,24 @@ class Cell(Box):
     def rounded(self, d: Vector) -> Vector:
         return self._cartesian(tuple(f - F.rint(f) for f in self.fractional(d)))  # type: ignore[arg-type]
 
+    def nearest(self, d: Vector) -> Column:
+        """An array of one struct (d2, x, y, z): the nearest image and its squared length, computed once for all uses by inlining the array."""
+        # as higher-order functions, since 27 images written out, once for each use of the result, are too much code for a join's condition
+        rows = self._rows()
+        steps = F.array(F.lit(0.0), F.lit(-1.0), F.lit(1.0))
+
+        def image(f: Column, i: Column, j: Column, k: Column) -> Column:
+            p = [(f["x"] + i) * rows[0][n] + (f["y"] + j) * rows[1][n] + (f["z"] + k) * rows[2][n] for n in range(3)]
+            return F.struct(dot(p, p).alias("d2"), *[c.alias(name) for c, name in zip(p, "xyz")])  # type: ignore[arg-type]
+
+        def around(f: Column) -> Column:
+            return F.array_min(F.flatten(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.transform(steps, lambda k: image(f, i, j, k)))))))
+
+        parts = F.struct(*[(x - F.rint(x)).alias(name) for x, name in zip(self.fractional(d), "xyz")])
+        return F.transform(F.array(parts), around)
+
     def mic(self, d: Vector) -> Vector:
-        near = self.rounded(d)
-        rows, images = self._rows(), []
-        for i in (0, -1, 1):
-            for j in (0, -1, 1):
-                for k in (0, -1, 1):
-                    p = tuple(near[n] + i * rows[0][n] + j * rows[1][n] + k * rows[2][n] for n in range(3))
-                    images.append(F.struct(dot(p, p).alias("d2"), F.lit(len(images)).alias("n"), p[0].alias("x"), p[1].alias("y"), p[2].alias("z")))  # type: ignore[arg-type]
-        best = F.least(*images)
+        best = F.get(self.nearest(d), F.lit(0))
         return best["x"], best["y"], best["z"]
 
     def wrap(self, p: Vector) -> Vector:
@@ -137,6 +146,9 @@ class Open(Box):
 
     columns = ()
 
+    def matrix(self) -> Column:
+        return F.array(*[F.array(*[F.lit(0.0)] * 3)] * 3)
+
     def mic(self, d: Vector) -> Vector:
         return d
 

@@ -54,8 +54,13 @@ def pairs(a: DataFrame, b: DataFrame, frames: DataFrame, *, box: G.Box = G.BOX,
         wide = cutoff * (1 + 1e-9) + 1e-12
         own = cells.withColumns({f"n{axis}": F.when(h >= 3 * wide, F.least(F.floor(h / wide), F.lit(1 << 20))).otherwise(1).cast("int") for axis, h in zip("xyz", box.heights())})
         both = _in_cells(left, "a_", own, box, False).join(_in_cells(right, "b_", own, box, True), [FRAME, "cx", "cy", "cz"]).drop("cx", "cy", "cz")
-    dx, dy, dz = box.mic(G.minus(G.vector("b_"), G.vector("a_")))
-    both = both.withColumns({"dx": dx, "dy": dy, "dz": dz}).withColumn("d", G.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
+    away = G.minus(G.vector("b_"), G.vector("a_"))
+    if isinstance(box, G.Cell):
+        names = both.columns
+        both = both.select(*names, F.inline(box.nearest(away))).toDF(*names, "d2", "dx", "dy", "dz").drop("d2")
+    else:
+        both = both.withColumns(dict(zip(("dx", "dy", "dz"), box.mic(away))))
+    both = both.withColumn("d", G.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
     return both if cutoff is None else both.filter(F.col("d") <= cutoff)
 
 

@@ -54,10 +54,14 @@ def reaction_windows(segments: DataFrame, n_frames: int, buffer: int = 10, event
     return segments.select("formula", "segment", first.alias("boundary"), F.greatest(F.lit(0), first - buffer).alias("first"), F.least(F.lit(n_frames), last + buffer).alias("stop"))
 
 
-def reaction_kinetics(segments: DataFrame, n_frames: int, dt: float = 1.0) -> DataFrame:
-    """formula, n_events, mean_lifetime, median_lifetime, rate. A formula never seen has no row."""
+def reaction_kinetics(segments: DataFrame, n_frames: int, dt: float = 1.0, formulas: list[str] | None = None) -> DataFrame:
+    """formula, n_events, mean_lifetime, median_lifetime, rate, of all formulas seen or of those named; one never seen has 0 events, rate 0 and lifetimes NaN."""
     life = (F.col("stop") - F.col("start")) * dt
-    return segments.groupBy("formula").agg(F.count("*").alias("n_events"), F.avg(life).alias("mean_lifetime"), F.median(life).alias("median_lifetime"), (F.count("*") / F.lit(n_frames * dt)).alias("rate"))
+    found = segments.groupBy("formula").agg(F.count("*").alias("n_events"), F.avg(life).alias("mean_lifetime"), F.median(life).alias("median_lifetime"), (F.count("*") / F.lit(n_frames * dt)).alias("rate"))
+    if formulas is None:
+        return found
+    named = segments.sparkSession.createDataFrame([(f,) for f in dict.fromkeys(formulas)], "formula string").join(found, "formula", "left")
+    return named.select("formula", F.coalesce("n_events", F.lit(0)).alias("n_events"), *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("mean_lifetime", "median_lifetime")], F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
 def track(states: DataFrame, persistence: int = 1, *, entity: str = "entity", time: str = "t", state: str = "state") -> tuple[DataFrame, DataFrame]:

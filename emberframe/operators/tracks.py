@@ -18,7 +18,14 @@ TRACK_SCHEMA = "formula string, segment int, track int, idx int, frame_id long,
 
 
 def _nearest(delta: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return delta - cell * np.rint(delta / cell)
+    """The image in the cell (rows are its vectors, all zero for none) by rounding its parts along them."""
+    if not cell.any():
+        return delta
+    lengths = np.diagonal(cell)
+    if not (cell - np.diag(lengths)).any():
+        return delta - lengths * np.rint(delta / lengths)
+    parts = delta @ np.linalg.inv(cell)
+    return delta - np.rint(parts) @ cell
 
 
 def _follow(frames: list[tuple[int, np.ndarray, np.ndarray]], max_step: float | None) -> list[list[tuple[int, np.ndarray]]]:
@@ -44,23 +51,23 @@ def _follow(frames: list[tuple[int, np.ndarray, np.ndarray]], max_step: float |
     return [h for h in [*done, *(h for _, h in live)] if len(h) > 1]
 
 
-def greedy_tracks(mols: DataFrame, segments: DataFrame, frames: DataFrame, formulas: list[str] | None = None, *, max_step: float | None = None) -> DataFrame:
-    """formula, segment, track, idx, frame_id, x, y, z: unwrapped centres of molecules followed through each segment, in orthorhombic boxes. max_step, if given, is the longest step that a track takes."""
+def greedy_tracks(mols: DataFrame, segments: DataFrame, frames: DataFrame, formulas: list[str] | None = None, *, max_step: float | None = None, box: G.Box = G.BOX) -> DataFrame:
+    """formula, segment, track, idx, frame_id, x, y, z: unwrapped centres of molecules followed through each segment. max_step, if given, is the longest step that a track takes."""
     import pandas as pd
 
     own = segments if formulas is None else segments.filter(F.col("formula").isin(formulas))
-    points = mols.select(FRAME, "mol_id", "formula", "cx", "cy", "cz").join(own, "formula").filter((F.col(FRAME) >= F.col("start")) & (F.col(FRAME) < F.col("stop"))).join(frames.select(FRAME, "lx", "ly", "lz"), FRAME)
+    points = mols.select(FRAME, "mol_id", "formula", "cx", "cy", "cz").join(own, "formula").filter((F.col(FRAME) >= F.col("start")) & (F.col(FRAME) < F.col("stop"))).join(frames.select(FRAME, box.matrix().alias("cell")), FRAME)
 
     def follow(key, pdf):
         pdf = pdf.sort_values([FRAME, "mol_id"])
-        parts = [(int(f), g[["cx", "cy", "cz"]].to_numpy(dtype=float), g[["lx", "ly", "lz"]].to_numpy(dtype=float)[0]) for f, g in pdf.groupby(FRAME)]
+        parts = [(int(f), g[["cx", "cy", "cz"]].to_numpy(dtype=float), np.array([list(row) for row in g["cell"].iat[0]], dtype=float)) for f, g in pdf.groupby(FRAME)]
         rows = [(key[0], key[1], t, i, f, *map(float, p)) for t, h in enumerate(_follow(parts, max_step)) for i, (f, p) in enumerate(h)]
         return pd.DataFrame(rows, columns=["formula", "segment", "track", "idx", "frame_id", "x", "y", "z"])
 
     return points.groupBy("formula", "segment").applyInPandas(follow, TRACK_SCHEMA)
 
 
-def stitch(tracks: DataFrame, mols: DataFrame, segments: DataFrame, frames: DataFrame, formula: str, *, max_gap: int = 50, max_jump: float = 4.0) -> tuple[DataFrame, DataFrame]:
+def stitch(tracks: DataFrame, mols: DataFrame, segments: DataFrame, frames: DataFrame, formula: str, *, max_gap: int = 50, max_jump: float = 4.0, box: G.Box = G.BOX) -> tuple[DataFrame, DataFrame]:
     """Chains (chain, idx, x, y, z) of a formula's segments, and links (from_stop, to_start, gap, jump).
 
     Of each segment the longest track counts (the first of equals). A segment goes on in the segment that starts within max_gap frames after
@@ -80,13 +87,13 @@ def stitch(tracks: DataFrame, mols: DataFrame, segments: DataFrame, frames: Data
     at = at.join(first.select(F.col(FRAME).alias("start"), F.array("cx", "cy", "cz").alias("a")), "start").join(first.select((F.col(FRAME) + 1).alias("stop"), F.array("cx", "cy", "cz").alias("b")), "stop")
     ends = path.groupBy("segment").agg(F.min(F.struct("idx", "x", "y", "z")).alias("p"), F.max(F.struct("idx", "x", "y", "z")).alias("q"))
     at = at.join(ends, "segment").select("segment", "start", "stop", "a", "b", F.array("p.x", "p.y", "p.z").alias("p"), F.array("q.x", "q.y", "q.z").alias("q"))
-    last = frames.groupBy().agg(F.max(F.struct(FRAME, "lx", "ly", "lz")).alias("m")).select(F.array("m.lx", "m.ly", "m.lz").alias("cell"))
+    last = frames.groupBy().agg(F.max(F.struct(FRAME, box.matrix().alias("cell"))).alias("m")).select("m.cell")
     at = at.crossJoin(F.broadcast(last)).withColumn("formula", F.lit(formula))  # last: one row
 
     def chain(pdf):
         pdf = pdf.sort_values("start", ignore_index=True)
         a, b, p, q = (np.array(pdf[c].tolist(), dtype=float) for c in "abpq")
-        cell, start, stop = np.array(pdf["cell"][0], dtype=float), pdf["start"].to_numpy(), pdf["stop"].to_numpy()
+        cell, start, stop = np.array([list(row) for row in pdf["cell"][0]], dtype=float), pdf["start"].to_numpy(), pdf["stop"].to_numpy()
         nxt, taken = np.full(len(pdf), -1), np.zeros(len(pdf), dtype=bool)
         for i in np.argsort(stop, kind="stable"):
             can = (start >= stop[i]) & (start <= stop[i] + max_gap) & ~taken
@@ -126,21 +133,18 @@ def unwrap(points: DataFrame, frames: DataFrame, *, entity: str = "atom_idx", bo
     return own.select(entity, FRAME, *[F.sum(f"s{a}").over(so_far).alias(a) for a in "xyz"])
 
 
-def unwrap_in_order(points: DataFrame, frames: DataFrame, *, entity: str = "atom_idx") -> DataFrame:
-    """unwrap for boxes that change: each position is the image nearest to the unwrapped one before, folded along the entity's frames inside one row."""
-    own = points.select(entity, FRAME, "x", "y", "z").join(frames.select(FRAME, "lx", "ly", "lz"), FRAME)
-    path = own.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(FRAME, "x", "y", "z", "lx", "ly", "lz"))).alias("p"))
+def unwrap_in_order(points: DataFrame, frames: DataFrame, *, entity: str = "atom_idx", box: G.Box = G.BOX) -> DataFrame:
+    """unwrap for cells that change: each position is the image nearest to the unwrapped one before, folded along the entity's frames inside one row."""
+    own = points.select(entity, FRAME, "x", "y", "z").join(frames.select(FRAME, *box.columns), FRAME)
+    path = own.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(FRAME, "x", "y", "z", *box.columns))).alias("p"))
     kind = path.schema["p"].dataType.elementType[FRAME].dataType.simpleString()
     empty = F.array().cast(f"array<struct<frame_id:{kind},x:double,y:double,z:double>>")
 
     def add(acc: Column, p: Column) -> Column:
         before = F.get(acc, F.size(acc) - 1)
-
-        def near(a: str) -> Column:
-            d = p[a] - before[a]
-            return F.when(F.size(acc) == 0, p[a]).otherwise(before[a] + d - p[f"l{a}"] * F.rint(d / p[f"l{a}"])).alias(a)
-
-        return F.concat(acc, F.array(F.struct(p[FRAME].alias(FRAME), near("x"), near("y"), near("z"))))
+        step = type(box)(lambda c: p[c]).rounded(tuple(p[a] - before[a] for a in "xyz"))  # type: ignore[arg-type]
+        near = [F.when(F.size(acc) == 0, p[a]).otherwise(before[a] + d).alias(a) for a, d in zip("xyz", step)]
+        return F.concat(acc, F.array(F.struct(p[FRAME].alias(FRAME), *near)))
 
     return path.select(entity, F.inline(F.aggregate("p", empty, add)))
 
@@ -200,7 +204,7 @@ def cluster_around(atoms: DataFrame, topo: DataFrame, frames: DataFrame, *, cent
     placed = start.select(FRAME, "atom_idx", "element", "mol_id", *[(F.col(a) + n - w).alias(a) for a, n, w in zip("xyz", near, away)])
     later = whole.join(F.broadcast(first), F.col(FRAME) > F.col("first")).drop("first")
     both = placed.unionByName(later)
-    moving = unwrap_in_order(both, frames)
+    moving = unwrap_in_order(both, frames, box=box)
     found = moving.join(whole.select(FRAME, "atom_idx", "element", "mol_id"), [FRAME, "atom_idx"])
     shift = _center(found, atoms=center_atoms, formula=None if center_coords is not None else center_formula, instance=center_instance, mols=mols)
     if shift is None:
@@ -208,10 +212,9 @@ def cluster_around(atoms: DataFrame, topo: DataFrame, frames: DataFrame, *, cent
     return found.join(shift, FRAME, "left").select(FRAME, "atom_idx", "element", "mol_id", *[(F.col(a) - F.coalesce(f"a{a}", F.lit(0.0))).alias(a) for a in "xyz"])
 
 
-def recenter(atoms: DataFrame, frames: DataFrame, *, center_atoms: list[int] | None = None, center_coords: tuple[float, float, float] | None = None, wrap: bool = False) -> DataFrame:
-    """Atoms that move without jumps, shifted so that the centre of some atoms (or a fixed point) lies in the middle of the box; wrap folds them back into it."""
-    box = G.BOX
-    moving = unwrap_in_order(atoms, frames).join(frames.select(FRAME, *box.columns), FRAME).join(atoms.select(FRAME, "atom_idx", "element"), [FRAME, "atom_idx"])
+def recenter(atoms: DataFrame, frames: DataFrame, *, center_atoms: list[int] | None = None, center_coords: tuple[float, float, float] | None = None, wrap: bool = False, box: G.Box = G.BOX) -> DataFrame:
+    """Atoms that move without jumps, shifted so that the centre of some atoms (or a fixed point) lies in the middle of the cell; wrap folds them back into it."""
+    moving = unwrap_in_order(atoms, frames, box=box).join(frames.select(FRAME, *box.columns), FRAME).join(atoms.select(FRAME, "atom_idx", "element"), [FRAME, "atom_idx"])
     if center_atoms is not None:
         ref = moving.filter(F.col("atom_idx").isin(center_atoms)).groupBy(FRAME).agg(*[F.avg(a).alias(f"a{a}") for a in "xyz"])
         moving = moving.join(ref, FRAME)

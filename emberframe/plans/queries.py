@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions import geometry as G
-from emberframe.functions.elements import element_table
+from emberframe.functions.elements import COLORS, COVALENT, OTHER_COLOR, RADII, element_table
 from emberframe.operators import correlation as C
 from emberframe.operators import distributions as D
 from emberframe.operators import perception as P
@@ -18,6 +18,7 @@ from emberframe.operators import selectors as S
 from emberframe.operators import stats as B
 from emberframe.operators import tracks as K
 from emberframe.plans import virtual as V
+from emberframe.sources import trajectory as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -150,10 +151,22 @@ def persistence_filter(spark, sf_dir):
     return P.persistence_filter(_A(spark, sf_dir).topo, 3)
 
 
-@query(f"WITH {V.SQL_A} SELECT DISTINCT element FROM va WHERE element NOT IN ('H')")
+@query(f"WITH {V.sql_mixed()} SELECT DISTINCT element FROM va WHERE element NOT IN ({', '.join(repr(e) for e in COVALENT)})")
 def coordination_centers(spark, sf_dir):
-    t = _A(spark, sf_dir)
-    return t.atoms.select("element").distinct().join(S.coordination_centers(t.atoms.filter("element = 'H'")), "element", "left_anti").filter("element <> 'H'")
+    return S.coordination_centers(V.mixed_atoms(spark, sf_dir))
+
+
+@query(f"WITH {V.sql_mixed()}, {V.sql_pairs('pb', on='a.atom_idx < b.atom_idx')} SELECT frame_id, i, j, ei, ej, round(d, 6) AS d FROM pb WHERE d < 1e0 * (ri + rj) + 6e-1")
+def bond_list_mixed(spark, sf_dir):
+    atoms = V.mixed_atoms(spark, sf_dir)
+    names = [atoms.select("frame_id", F.col("atom_idx").alias(c), F.col("element").alias(f"e{c}")) for c in "ij"]
+    return P.bonds(atoms, V.frames(spark, sf_dir)).join(names[0], ["frame_id", "i"]).join(names[1], ["frame_id", "j"]).select("frame_id", "i", "j", "ei", "ej", _r("d").alias("d"))
+
+
+@query(f"WITH {V.SQL_A}, {V.sql_slanted_pairs('pb', 'a.atom_idx < b.atom_idx')} SELECT frame_id, i, j, round(d, 6) AS d FROM pb WHERE d < 1e0 * (ri + rj) + 6e-1")
+def bond_list_slanted(spark, sf_dir):
+    frames = V.slanted_frames(spark, sf_dir)
+    return P.bonds(V.atoms(spark, sf_dir), frames, box=G.cell_of(frames)).select("frame_id", "i", "j", _r("d").alias("d"))
 
 
 @query(f"WITH {V.SQL_A} SELECT frame_id, atom_idx, CASE WHEN mol_id < 3 THEN mol_id ELSE -1 END AS mol_id FROM va")
@@ -162,11 +175,42 @@ def molecule_of_atom(spark, sf_dir):
     return S.molecule_of(t.atoms, t.known.filter("mol_id < 3"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{e}' AS element, {r!r}e0 AS radius, '{COLORS.get(e, OTHER_COLOR)}' AS color" for e, r in RADII.items()))
 def element_data(spark, sf_dir):
     return element_table(spark)
 
 
+# -- sources: written below the shared folder and read again
+
+
+@query(f"WITH {V.SQL_A} SELECT CAST(dense_rank() OVER (ORDER BY frame_id) - 1 AS INTEGER) AS frame_id, atom_idx, element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(l, 6) AS lx FROM va JOIN fr USING (frame_id)")
+def xyz_round_trip(spark, sf_dir):
+    t, path = _A(spark, sf_dir), sources.scratch(spark, "xyz")
+    sources.xyz_text(t.atoms, t.frames).repartitionByRange(4, "frame_id").sortWithinPartitions("frame_id").select("value").write.text(path)
+    frames, atoms = sources.read_xyz(spark, path)
+    return atoms.join(frames, "frame_id").select("frame_id", "atom_idx", "element", *[_r(a).alias(a) for a in "xyz"], _r("lx").alias("lx"))
+
+
+@query(f"WITH {V.SQL_A} SELECT frame_id, atom_idx, element, mol_id, round(x, 6) AS x, round(l, 6) AS lx FROM va JOIN fr USING (frame_id)")
+def saved_tables(spark, sf_dir):
+    t, path = _A(spark, sf_dir), sources.scratch(spark, "saved")
+    key = sources.cache_key(sf_dir, "molecular", 1.0, 1.3, None)
+    sources.save({"frames": t.frames, "atoms": t.atoms, "topo": t.known, "mols": P.molecules(t.atoms, t.known)}, path, key)
+    found = sources.load(spark, path, key)
+    return found["atoms"].join(found["topo"], ["frame_id", "atom_idx"]).join(found["frames"], "frame_id").select("frame_id", "atom_idx", "element", "mol_id", _r("x").alias("x"), _r("lx").alias("lx"))
+
+
+@query(f"WITH {V.SQL_A}, wn(name, first, stop) AS (VALUES ('w0', 0, 12), ('w1', 7, 30), ('w2', 100, 100)) SELECT name, frame_id, CAST(count(*) AS BIGINT) AS n, round(sum(x), 3) AS sx FROM va JOIN wn ON frame_id >= first AND frame_id < stop GROUP BY ALL")
+def written_windows(spark, sf_dir):
+    t, path = _A(spark, sf_dir), sources.scratch(spark, "windows")
+    windows = spark.createDataFrame([("w0", 0, 12), ("w1", 7, 30), ("w2", 100, 100)], "name string, first long, stop long")
+    sources.write_windows(t.atoms, windows, path, t.frames)
+    # a frame's number is in its second line, its atoms in those after
+    text = spark.read.text(path, wholetext=True).select("name", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(frame=\d+ .*?)(?=Lattice|\z)"), F.lit(1))).alias("t"))
+    each = text.select("name", F.regexp_extract("t", r"frame=(\d+)", 1).cast("long").alias("frame_id"), F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^[A-Z][a-z]? +(-?[0-9.]+) "), F.lit(1))).alias("x"))
+    return each.groupBy("name", "frame_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 3).alias("sx"))
+
+
 # -- pair, angular and spatial distributions
 
 
@@ -244,10 +288,10 @@ def rdf_shell_table(spark, sf_dir):
     return D.rdf_shells(_oh_curve(_A(spark, sf_dir))).select("shell", *[_r(c).alias(c) for c in ("peak", "inner", "outer", "cn")])
 
 
-@query(f"WITH {V.SQL_A}, {V.sql_pairs('pp', chr(97) + '.element = ' + repr('O'), 'b.element = ' + repr('O'), 'a.atom_idx < b.atom_idx')} SELECT frame_id, i AS center, j AS target, round(d, 6) AS d FROM pp WHERE d BETWEEN 25e-1 AND 32e-1 AND frame_id % 2 = 0")
+@query(f"WITH {V.SQL_A}, {V.sql_pairs('pp', chr(97) + '.element = ' + repr('O'), 'b.element = ' + repr('O'), 'a.atom_idx < b.atom_idx')} SELECT frame_id, i AS center, j AS target, round(d, 6) AS d FROM pp WHERE d BETWEEN 25e-1 AND 32e-1")
 def pairs_at_distance(spark, sf_dir):
     t = _A(spark, sf_dir)
-    return D.pairs_at_distance(t.of("O"), t.of("O"), t.frames, 2.5, 3.2, same=True, stride=2).select("frame_id", "center", "target", _r("d").alias("d"))
+    return D.pairs_at_distance(t.of("O"), t.of("O"), t.frames, 2.5, 3.2, same=True).select("frame_id", "center", "target", _r("d").alias("d"))
 
 
 @query()
@@ -555,14 +599,23 @@ def vdos_spectrum(spark, sf_dir):
     return B.spectrum(V.hourly(spark, sf_dir), 720).select("k", _r("wavenumber", 4).alias("wavenumber"), _r("power", 3).alias("power"))
 
 
+@query(f"WITH {_HOURLY} SELECT i, v FROM se")
+def log_round_trip(spark, sf_dir):
+    path = sources.scratch(spark, "log")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: F.concat_ws("  ", r["i"], *[F.lit("0.0")] * 7, r["v"]))
+    V.hourly(spark, sf_dir).agg(F.concat(F.lit("# a line of names\n"), F.array_join(rows, "\n")).alias("value")).coalesce(1).write.text(path)
+    return sources.read_log(spark, path)
+
+
 @query(f"WITH {_SPECTRUM}, pw AS (SELECT k, re * re + im * im AS power FROM ft), t AS (SELECT max(power) AS top FROM pw WHERE k >= 5) SELECT k, round(power / top, 6) AS power FROM pw CROSS JOIN t")
 def vdos_normalized(spark, sf_dir):
     return B.normalized_to_max(B.spectrum(V.hourly(spark, sf_dir), 720), "power", within=F.col("k") >= 5).select("k", _r("power").alias("power"))
 
 
-@query()
+@query(f"WITH {_SPECTRUM} SELECT 0 AS series, CAST(k AS BIGINT) AS k, round(k / 360e0 / 2998e-8, 4) AS wavenumber, round(re * re + im * im, 3) AS power FROM ft")
 def vdos_fft(spark, sf_dir):
-    return B.spectrum_fft(V.hourly(spark, sf_dir).withColumn("series", F.lit(0)))
+    found = B.spectrum_fft(V.hourly(spark, sf_dir).withColumn("series", F.lit(0)))
+    return found.select("series", "k", _r("wavenumber", 4).alias("wavenumber"), _r("power", 3).alias("power"))
 
 
 # -- walkers
@@ -680,10 +733,16 @@ def make_whole(spark, sf_dir):
     return K.make_whole(t.atoms, t.known, t.frames).select("frame_id", "atom_idx", "element", "mol_id", *[_r(a).alias(a) for a in "xyz"])
 
 
-@query()
+_WHOLE = ", ".join(f"CASE WHEN b.atom_idx % 3 = 0 THEN b.{a} ELSE a.{a} + ((b.{a} - a.{a}) - l * round_even((b.{a} - a.{a}) / l, 0)) END AS {a}" for a in "xyz")
+
+
+@query(
+    f"WITH {V.SQL_A}, wh AS (SELECT frame_id, b.atom_idx, b.element, b.mol_id, {_WHOLE} FROM va b JOIN va a USING (frame_id, mol_id) JOIN fr USING (frame_id) WHERE a.atom_idx % 3 = 0), "
+    f"ce AS (SELECT frame_id, {', '.join(f'avg({a}) AS c{a}' for a in 'xyz')} FROM wh WHERE atom_idx IN (0, 1, 2) GROUP BY 1) SELECT frame_id, atom_idx, element, mol_id, {', '.join(f'round({a} - c{a}, 6) AS {a}' for a in 'xyz')} FROM wh JOIN ce USING (frame_id)"
+)
 def vacuum_clusters(spark, sf_dir):
     t = _A(spark, sf_dir)
-    return K.vacuum(t.atoms, t.known, t.frames, center_atoms=[0, 1, 2])
+    return K.vacuum(t.atoms, t.known, t.frames, center_atoms=[0, 1, 2]).select("frame_id", "atom_idx", "element", "mol_id", *[_r(a).alias(a) for a in "xyz"])
 
 
 @query()
@@ -704,6 +763,6 @@ def tracks_greedy(spark, sf_dir):
 
 @query()
 def stitch_tracks(spark, sf_dir):
-    mols = _walk_mols(spark, sf_dir).filter("mol_id = 0 and frame_id % 40 < 37")
+    mols = _walk_mols(spark, sf_dir).filter("frame_id % 40 < 37")
     segments, frames = R.lifetime_segments(mols), _walk_frames(spark, sf_dir)
     return K.stitch(K.greedy_tracks(mols, segments, frames), mols, segments, frames, "W", max_gap=5, max_jump=3000.0)[1]

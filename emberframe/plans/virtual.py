@@ -1,6 +1,7 @@
 """Deterministic trajectories made from the given tables, with the SQL that makes the same rows.
 
 * A: each embedding is a frame of seven O and fourteen H atoms in a box whose length depends on the frame.
+* M: A with other elements; T: A in slanted cells.
 * B: three walkers, steps from embeddings, positions in thousandths of an angstrom.
 * C: event types as species present in ten-minute frames, and users as entities whose state is the event type.
 """
@@ -34,6 +35,22 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("frame_id", "atom_idx", F.when(r == 0, "O").otherwise("H").alias("element"), *[x.alias(a) for a, x in zip("xyz", at)])
 
 
+#: Elements of M, by the atom's number: metals, a metalloid, and elements of covalent molecules.
+MIXED = ["O", "Fe", "H", "Zn", "C", "K", "Ge"]
+
+
+def mixed_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return atoms(spark, sf_dir).withColumn("element", F.get(F.lit(MIXED), (F.col("atom_idx") % len(MIXED)).cast("int")))
+
+
+#: The vectors of T's cells, in lengths of A's.
+SLANTED = [[1.0, 0.0, 0.0], [0.25, 0.9, 0.0], [0.1, 0.2, 0.95]]
+
+
+def slanted_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).select("frame_id", F.array(*[F.array(*[F.col("lx") * x for x in row]) for row in SLANTED]).alias("cell"))
+
+
 def topo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each O with its two H."""
     return atoms(spark, sf_dir).select("frame_id", "atom_idx", F.floor(F.col("atom_idx") / 3).cast("int").alias("mol_id"))
@@ -78,6 +95,25 @@ SQL_A = f"""fr AS (SELECT vec_id AS frame_id, CAST(12001 + 2 * (vec_id % 7) AS D
 va AS (SELECT vec_id AS frame_id, CAST(a AS INTEGER) AS atom_idx, CAST(a // 3 AS INTEGER) AS mol_id, CASE WHEN a % 3 = 0 THEN 'O' ELSE 'H' END AS element, CASE WHEN a % 3 = 0 THEN 66e-2 ELSE 31e-2 END AS radius, {_xyz(0)}, {_xyz(1)}, {_xyz(2)} FROM embeddings, UNNEST(range({3 * MOLECULES})) AS t(a))"""
 
 
+def sql_mixed() -> str:
+    """fr and va of M."""
+    from emberframe.functions.elements import RADII
+
+    names, radii = ", ".join(f"'{e}'" for e in MIXED), ", ".join(f"{RADII[e]!r}e0" for e in MIXED)
+    at = f"atom_idx % {len(MIXED)} + 1"
+    return f"{SQL_A.replace('va AS (', 'v0 AS (')}, va AS (SELECT frame_id, atom_idx, mol_id, list_extract([{names}], {at}) AS element, list_extract([{radii}], {at}) AS radius, x, y, z FROM v0)"
+
+
+def sql_slanted_pairs(name: str, on: str) -> str:
+    """A table name(frame_id, i, j, ri, rj, d) of pairs of va in T's cells: the nearest of 27 images around the rounded one."""
+    (ax, _, _), (bx, by, _), (cx, cy, cz) = [[f"{x!r}e0 * l" for x in row] for row in SLANTED]
+    image = "(VALUES (-1), (0), (1))"
+    return f"""{name}_d AS (SELECT frame_id, a.atom_idx AS i, b.atom_idx AS j, a.radius AS ri, b.radius AS rj, l, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM va a JOIN va b USING (frame_id) JOIN fr USING (frame_id) WHERE {on}),
+{name}_c AS (SELECT *, dz / ({cz}) AS fc FROM {name}_d), {name}_b AS (SELECT *, (dy - fc * {cy}) / ({by}) AS fb FROM {name}_c), {name}_a AS (SELECT *, (dx - fb * {bx} - fc * {cx}) / ({ax}) AS fa FROM {name}_b),
+{name}_f AS (SELECT *, fa - round_even(fa, 0) + u AS ga, fb - round_even(fb, 0) + v AS gb, fc - round_even(fc, 0) + w AS gc FROM {name}_a, {image} AS t1(u), {image} AS t2(v), {image} AS t3(w)),
+{name} AS (SELECT frame_id, i, j, ri, rj, sqrt(min(power(ga * {ax} + gb * {bx} + gc * {cx}, 2) + power(gb * {by} + gc * {cy}, 2) + power(gc * {cz}, 2))) AS d FROM {name}_f GROUP BY ALL)"""
+
+
 def sql_pairs(name: str, a: str = "true", b: str = "true", on: str = "true") -> str:
     """A table name(frame_id, i, j, ei, ej, ri, rj, mi, mj, dx, dy, dz, d) of pairs of va."""
     d = ", ".join(f"(b.{c} - a.{c}) - l * round_even((b.{c} - a.{c}) / l, 0) AS d{c}" for c in "xyz")

@@ -9,14 +9,29 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions import geometry as G
 from emberframe.operators.selectors import FRAME
 
 VERSION = 1
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, the folder that driver and executors share; on one machine without it, below a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="emberframe-")
+    return f"{path.rstrip('/')}/emberframe/{name}-{uuid.uuid4().hex}"
+
+
 _LATTICE = r'Lattice="([^"]*)"'
 
 
@@ -29,8 +44,9 @@ def parse_address(address: str) -> tuple[str, int | None]:
 def read_xyz(spark: SparkSession, path: str, max_frames: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of extended-XYZ files, frames numbered from 0 through each file in the order of names.
 
-    A frame is a count, a line of key=value, and as many atom lines: symbol, position, further columns (kept as extras). Lines are numbered by
-    one pass of whole files, parsed in parallel by file; many files read in parallel, one file is one task.
+    A frame is a count, a line of key=value, and as many atom lines: symbol, position, further columns (kept as extras, null where they are
+    no numbers). Frames have their whole lattice as cell; lx, ly, lz are its diagonal, which is all of it in a box only: geometry.cell_of
+    tells. Lines are numbered by one pass of whole files, parsed in parallel by file; many files read in parallel, one file is one task.
     """
 
     def split(batches):
@@ -49,15 +65,9 @@ def read_xyz(spark: SparkSession, path: str, max_frames: int | None = None) -> t
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = whole.mapInPandas(split, "path string, number int, comment string, body string")
     sizes = parts.groupBy("path").agg(F.count("*").alias("n"))
-    before = {}
-    total = 0
-    for r in sorted(sizes.collect(), key=lambda r: r["path"]):  # a row per file
-        before[r["path"]] = total
-        total += r["n"]
-    offset = F.lit(0)
-    for name, n in before.items():
-        offset = F.when(F.col("path") == name, F.lit(n)).otherwise(offset)
-    each = parts.withColumn(FRAME, F.col("number") + offset)
+    # a row per file, whose frames before it are a running sum
+    offsets = sizes.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("before"))
+    each = parts.join(offsets, "path").withColumn(FRAME, F.col("number") + F.col("before"))
     if max_frames is not None:
         each = each.filter(F.col(FRAME) < max_frames)
     lattice = F.split(F.regexp_extract("comment", _LATTICE, 1), " ")
@@ -69,27 +79,30 @@ def read_xyz(spark: SparkSession, path: str, max_frames: int | None = None) -> t
     frames = each.select(FRAME, F.when(has, F.array(*[F.array(*[cell(3 * i + k) for k in range(3)]) for i in range(3)])).alias("cell"), cell(0).alias("lx"), cell(4).alias("ly"), cell(8).alias("lz"), F.regexp_extract("comment", r'pbc="([^"]*)"', 1).contains("T").alias("pbc"), F.expr(r"""str_to_map(array_join(regexp_extract_all(regexp_replace(comment, '"[^"]*"', ''), '(\\w+=[^ =]+)', 1), '\u0001'), '\u0001', '=')""").alias("info"))
     atoms = each.select(FRAME, F.posexplode(F.split("body", "\n")).alias("atom_idx", "line")).select(FRAME, "atom_idx", F.split(F.trim("line"), r"\s+").alias("f"))
     number = lambda i: F.get("f", i).cast("double")
-    atoms = atoms.select(FRAME, "atom_idx", F.get("f", F.lit(0)).alias("element"), number(1).alias("x"), number(2).alias("y"), number(3).alias("z"), F.transform(F.slice("f", 5, 1000), lambda v: v.cast("double")).alias("extras"))
+    atoms = atoms.select(FRAME, "atom_idx", F.get("f", F.lit(0)).alias("element"), number(1).alias("x"), number(2).alias("y"), number(3).alias("z"), F.transform(F.slice("f", 5, F.greatest(F.size("f") - 4, F.lit(0))), lambda v: v.try_cast("double")).alias("extras"))
     return frames, atoms
 
 
 def xyz_text(atoms: DataFrame, frames: DataFrame | None = None, group: list[str] | None = None) -> DataFrame:
-    """group, frame_id, value: one extended-XYZ record for each frame; with frames, the box is written."""
+    """group, frame_id, value: one extended-XYZ record for each frame; with frames, their cells are written."""
     keys = [*(group or []), FRAME]
     line = F.format_string("%-2s %16.8f %16.8f %16.8f", "element", "x", "y", "z")
     own = atoms.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", line.alias("line")))), lambda s: s["line"]), "\n").alias("body"))
     box = F.lit("")
     if frames is not None:
-        own = own.join(frames.select(FRAME, "lx", "ly", "lz"), FRAME)
-        box = F.format_string('Lattice="%.10f 0.0 0.0 0.0 %.10f 0.0 0.0 0.0 %.10f" ', "lx", "ly", "lz")
+        kind = G.BOX if "cell" not in frames.columns else G.CELL
+        own = own.join(frames.select(FRAME, kind.matrix().alias("cell")), FRAME)
+        numbers = F.array_join(F.transform(F.flatten("cell"), lambda x: F.format_string("%.10f", x)), " ")
+        box = F.when(F.col("cell").isNotNull(), F.concat(F.lit('Lattice="'), numbers, F.lit('" '))).otherwise("")
     head = F.concat(box, F.lit("Properties=species:S:1:pos:R:3 "), F.format_string("frame=%d ", FRAME), F.lit('pbc="T T T"' if frames is not None else 'pbc="F F F"'))
     return own.select(*keys, F.concat_ws("\n", F.col("n").cast("string"), head, "body").alias("value"))
 
 
 def write_windows(atoms: DataFrame, windows: DataFrame, path: str, frames: DataFrame | None = None) -> None:
-    """One folder name=<window> below path for each window (name, first, stop), its frames in order in one file of extended XYZ. windows is small: a row per segment or event."""
-    inside = (F.col(FRAME) >= F.col("first")) & (F.col(FRAME) < F.col("stop"))
-    own = atoms.join(F.broadcast(windows.select("name", "first", "stop")), inside)
+    """One folder name=<window> below path for each window (name, first, stop), its frames in order in one file of extended XYZ."""
+    # each window's frames as rows: an equi-join on the frame, whatever the number of windows
+    wanted = windows.filter("stop > first").select("name", F.explode(F.sequence("first", F.col("stop") - 1)).alias(FRAME))
+    own = atoms.join(wanted, FRAME)
     text = xyz_text(own, frames, ["name"])
     text.repartition("name").sortWithinPartitions("name", FRAME).select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
 
