@@ -164,6 +164,12 @@ def cell_of(frames: DataFrame) -> Box:
     return CELL if "lx" not in frames.columns or not frames.filter(slanted).isEmpty() else BOX
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once, however often they are used: they stay behind an inlined array, so the optimizer doesn't write them out in each use."""
+    names = [c for c in df.columns if c not in columns]
+    return df.select(*names, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def angle(a: Vector, b: Vector) -> Column:
     """The angle between two vectors in degrees; 90 if one is zero, as lengths are padded by 1e-10."""
     c = dot(a, b) / ((norm(a) + 1e-10) * (norm(b) + 1e-10))

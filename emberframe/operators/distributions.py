@@ -238,7 +238,7 @@ def aligned(centers: DataFrame, align: DataFrame, targets: DataFrame, topo: Data
     c = centers.join(topo, [FRAME, "atom_idx"]).select(*key, F.col("atom_idx").alias("center"), *[F.col(a).alias(f"c_{a}") for a in "xyz"])
     own = c.join(first_of(align, "l_"), key).join(size, FRAME)
     b = box.mic(G.minus(G.vector("l_"), G.vector("c_")))
-    own = own.withColumns({"b_x": b[0], "b_y": b[1], "b_z": b[2]})
+    own = G.once(own, {"b_x": b[0], "b_y": b[1], "b_z": b[2]})
     if second is not None:
         s = second.join(topo, [FRAME, "atom_idx"]).select(*key, F.col("atom_idx").alias("s_idx"), *[F.col(a).alias(f"s_{a}") for a in "xyz"])
         pick = own.select(*key, "center", "l_idx").join(s, key).filter("s_idx <> l_idx").groupBy(*key, "center").agg(F.min(F.struct("s_idx", "s_x", "s_y", "s_z")).alias("s"))
@@ -252,10 +252,11 @@ def aligned(centers: DataFrame, align: DataFrame, targets: DataFrame, topo: Data
     meta = with_targets.agg(F.count("*").alias("n_center"), F.coalesce(F.avg(G.norm(G.vector("b_"))), F.lit(0.0)).alias("mean_bond_len"))
     t = targets.select(FRAME, F.col("atom_idx").alias("t_idx"), *[F.col(a).alias(f"t_{a}") for a in "xyz"], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     both = own.join(t, FRAME).filter("t_idx <> center and t_idx <> l_idx")
-    d = G.onto_z(G.vector("b_"), box.mic(G.minus(G.vector("t_"), G.vector("c_"))))
-    both = both.withColumns({"x0": d[0], "y0": d[1], "z0": d[2]})
-    d = G.about_z((F.col("x0"), F.col("y0"), F.col("z0")), F.col("phi")) if second is not None else (F.col("x0"), F.col("y0"), F.col("z0"))
-    both = both.select(FRAME, "center", d[0].alias("x"), d[1].alias("y"), d[2].alias("z"), "w")
+    both = G.once(both, dict(zip(("m_x", "m_y", "m_z"), box.mic(G.minus(G.vector("t_"), G.vector("c_"))))))
+    both = G.once(both, dict(zip(("x0", "y0", "z0"), G.onto_z(G.vector("b_"), G.vector("m_")))))
+    if second is not None:
+        both = G.once(both, dict(zip(("x0", "y0", "z0"), G.about_z((F.col("x0"), F.col("y0"), F.col("z0")), F.col("phi")))))
+    both = both.select(FRAME, "center", *[F.col(f"{a}0").alias(a) for a in "xyz"], "w")
     if half_space is not None:
         axis = F.col(half_space[-1])
         both = both.filter(axis < -offset if half_space[0] == "-" else axis > offset)
