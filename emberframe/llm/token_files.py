@@ -3,16 +3,19 @@
 A token file is a row of little-endian unsigned integers and nothing else; an end-of-document id closes each document. The scan cuts
 files into blocks of whole tokens, searches each block for the id in one vectorised comparison, and keeps the places found. What a
 block's first separator closes may begin in any block before: a prefix scan over a file's blocks carries the tokens that are still
-open and the number of documents so far. A block costs one row of this scan, so a file of any size can be cut.
+open and the number of documents so far. The prefix scan sees a row of four numbers for each block, never the places, so a file of
+any size can be cut; its results are joined back to the blocks.
 
 Files on paths that each machine mounts (no scheme, or ``file:``) are read block by block; files elsewhere through Spark's
-reader of binary files, which holds one file of at most 2 GB at a time.
+reader of binary files, which holds one file of at most 2 GB at a time and cuts it in its row.
 
 ``write`` makes such files with Spark's own committed writer, one for each partition, so lost executors leave no torn file: rows
 are the tokens' bytes and the line separator is the end-of-document id.
 
 An empty document is a separator alone and has 0 tokens. Tokens after a file's last separator are a document with ``closed``
-false. Empty files have no documents. A file whose size is not a whole number of tokens is an error.
+false. Empty files have no documents. A file whose size is not a whole number of tokens is an error. Null texts are empty documents,
+repeated rows are documents of their own, and an empty table writes no documents. ``counts`` takes the id and the text alone, so
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import by_batches
+from emberframe.llm.common import by_batches, few, written
 from emberframe.llm.sentencepiece_bpe import Encoder, PieceModel
 
 #: Tokens of a block, and bytes of a token.
@@ -98,29 +101,30 @@ def blocks(spark: SparkSession, path: str, separator: int, *, block_tokens: int
     if some is None or _local(some["path"]) is not None:
         spread = spark.sparkContext.defaultParallelism * 4
         return by_batches(cut.repartition(spread, "file", "block"), by_range, schema)
-    data = cut.join(files.select(F.col("path").alias("file"), "content"), "file").select("file", "block", "at", F.expr(f"substring(content, cast(at as int) + 1, {size})").alias("data"))
+    parts = F.expr(f"transform(sequence(0L, length - 1, {size}L), at -> struct(at, substring(content, cast(at as int) + 1, {size}) as data))")
+    data = files.filter("length > 0").select(F.col("path").alias("file"), F.posexplode(parts).alias("block", "part")).select("file", "block", "part.at", "part.data")
     return by_batches(data, whole, schema)
 
 
 def scan(spark: SparkSession, path: str, separator: int, **options) -> DataFrame:
     """file, document (from 0 in its file), start (its first token's place), n_tokens, closed."""
-    found = blocks(spark, path, separator, **options)
+    found = written(blocks(spark, path, separator, **options), "token-blocks")
     order = W.partitionBy("file").orderBy("block")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    some = F.size("ends") > 0
-    opened = F.when(some, F.col("base") + F.col("n") - F.element_at("ends", -1) - 1).otherwise(F.col("n"))
-    seen = found.withColumn("documents", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).withColumn("run", F.sum(some.cast("int")).over(upto)).withColumn("opened", opened)
+    closes = F.col("closed") > 0
+    blank = found.select("file", "block", "n", F.size("ends").alias("closed"), F.when(F.size("ends") > 0, F.col("base") + F.col("n") - F.element_at("ends", -1) - 1).otherwise(F.col("n")).alias("opened"))
+    seen = blank.withColumn("documents", F.coalesce(F.sum("closed").over(before), F.lit(0))).withColumn("run", F.sum(closes.cast("int")).over(upto))
     after = W.partitionBy("file", "run").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)
     seen = seen.withColumn("after", F.sum("opened").over(after))
     seen = seen.withColumn("carry", F.lag("after", 1, 0).over(order)).withColumn("last", F.lead("block").over(order).isNull())
-    first = F.col("base") - F.col("carry")
-    closed = seen.select("file", "documents", F.col("ends").alias("e"), first.alias("first"), F.posexplode("ends").alias("k", "end")).select(
+    summary = written(seen.select("file", "block", "documents", "after", "carry", "last"), "token-summary")
+    whole = found.join(few(summary), ["file", "block"])
+    closed = whole.select("file", "documents", F.col("ends").alias("e"), (F.col("base") - F.col("carry")).alias("first"), F.posexplode("ends").alias("k", "end")).select(
         "file", (F.col("documents") + F.col("k")).alias("document"), F.when(F.col("k") == 0, F.col("first")).otherwise(F.get("e", F.col("k") - 1) + 1).alias("start"), "end", F.lit(True).alias("closed")
     )
-    total = F.col("documents") + F.size("ends")
     end = F.col("base") + F.col("n")
-    rest = seen.filter("last and after > 0").select("file", total.alias("document"), (end - F.col("after")).alias("start"), end.alias("end"), F.lit(False).alias("closed"))
+    rest = whole.filter("last and after > 0").select("file", (F.col("documents") + F.size("ends")).alias("document"), (end - F.col("after")).alias("start"), end.alias("end"), F.lit(False).alias("closed"))
     return closed.union(rest).select("file", "document", "start", (F.col("end") - F.col("start")).alias("n_tokens"), "closed")
 
 
@@ -133,4 +137,5 @@ def counts(docs: DataFrame, model_path: str, path: str, id_column: str = "doc_id
     numbers = found.select((F.shiftleft(part, 33) + F.col("document")).alias("row"), "n_tokens")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column))
     missing = F.raise_error(F.lit("a document is not in the token files"))
-    return rows.join(numbers, "row", "left").select(id_column, F.coalesce("n_tokens", missing.cast("long")).alias("n_tokens"))
+    # both sides have a row for each document: no side is small
+    return rows.join(numbers.hint("merge"), "row", "left").select(id_column, F.coalesce("n_tokens", missing.cast("long")).alias("n_tokens"))

@@ -88,7 +88,7 @@ def test_pieces_match_the_library():
         sentencepiece_bpe.CACHE_WORDS = old
 
 
-def test_token_scan_stitches_blocks(spark, tmp_path):
+def test_token_scan_stitches_blocks(spark, tmp_path, monkeypatch):
     rng = random.Random(4)
     expected = {}
     for name in ("part-00000-x", "part-00001-x", "part-00002-x"):
@@ -106,6 +106,13 @@ def test_token_scan_stitches_blocks(spark, tmp_path):
         for r in token_files.scan(spark, str(tmp_path), 2, block_tokens=block).orderBy("file", "document").collect():
             found.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["start"], r["n_tokens"], r["closed"]))
         assert found == expected
+    # where workers cannot open the path themselves, Spark's reader gives whole files
+    with monkeypatch.context() as m:
+        m.setattr(token_files, "_local", lambda path: None)
+        found = {}
+        for r in token_files.scan(spark, str(tmp_path), 2, block_tokens=5).orderBy("file", "document").collect():
+            found.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["start"], r["n_tokens"], r["closed"]))
+        assert found == expected
     (tmp_path / "part-00004-x").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole number"):
         token_files.scan(spark, str(tmp_path), 2).collect()
