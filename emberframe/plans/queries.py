@@ -128,10 +128,21 @@ def molecules_sphere(spark, sf_dir):
     return P.build_spheres(t.atoms, t.frames, _SPHERE)
 
 
-@query()
+_SPHERE_BINS = len(G.edges(5.0, 0.05)) - 1
+
+
+@query(
+    f"""WITH {V.SQL_A}, {V.sql_pairs('pb', "a.element = 'O'", 'true', 'a.atom_idx <> b.atom_idx')},
+hc AS (SELECT ej AS ligand, least(CAST(floor(d / ({_SPHERE_BINS * 0.05!r}e0 / {_SPHERE_BINS})) AS INTEGER), {_SPHERE_BINS - 1}) AS bin, count(*) AS c FROM pb WHERE d > 3e-1 AND d <= {_SPHERE_BINS * 0.05!r}e0 GROUP BY ALL),
+sp AS (SELECT l.ligand, CAST(b AS INTEGER) AS bin, coalesce(c, 0) AS c FROM (SELECT DISTINCT ligand FROM hc) AS l CROSS JOIN range({_SPHERE_BINS}) AS t(b) LEFT JOIN hc ON hc.ligand = l.ligand AND hc.bin = t.b),
+sm AS (SELECT ligand, bin, sum(c) OVER (PARTITION BY ligand ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5e0 AS g FROM sp),
+nb AS (SELECT *, lag(g) OVER w AS lo, lead(g) OVER w AS hi FROM sm WINDOW w AS (PARTITION BY ligand ORDER BY bin)),
+pk AS (SELECT ligand, bin AS peak FROM (SELECT *, row_number() OVER (PARTITION BY ligand ORDER BY g DESC, bin) AS k FROM nb WHERE bin >= 1 AND bin < {int(0.55 * 5.0 / 0.05)}) AS q WHERE k = 1 AND g >= 1)
+SELECT 'O' AS center, nb.ligand, round((min(bin) + 0.5e0) * 5e-2, 6) AS cutoff, round((min(peak) + 0.5e0) * 5e-2, 6) AS peak FROM nb JOIN pk ON pk.ligand = nb.ligand WHERE bin > peak AND g <= lo AND g <= hi GROUP BY nb.ligand"""
+)
 def sphere_cutoffs(spark, sf_dir):
     t = _A(spark, sf_dir)
-    return P.detect_sphere_cutoffs(t.atoms, t.frames, ["O"], ligands=["H", "O"])
+    return P.detect_sphere_cutoffs(t.atoms, t.frames, ["O"], ligands=["H", "O"]).select("center", "ligand", _r("cutoff").alias("cutoff"), _r("peak").alias("peak"))
 
 
 _RUNS_T7 = """s1 AS (SELECT frame_id, mol_id, string_agg(lpad(CAST(atom_idx AS VARCHAR), 9, '0'), ',' ORDER BY atom_idx) AS s FROM tp GROUP BY ALL),
@@ -680,19 +691,42 @@ def van_hove(spark, sf_dir):
     return _van_hove(spark, sf_dir).select("lag", "bin", "r", _r("p", 9).alias("p"), "n")
 
 
-@query()
+def _vh_conv(weights: str) -> str:
+    """sm(lag, bin, s): the curves convolved, mirrored at the ends, with kn(lag, o, w) as weights gives it."""
+    place = "((bin + o) % 60 + 60) % 60"
+    return f"""WITH {_VH}, kn AS ({weights}), sp AS (SELECT vh.lag, bin, w, CASE WHEN {place} < 30 THEN {place} ELSE 59 - {place} END AS q FROM vh JOIN kn ON kn.lag = vh.lag),
+sm AS (SELECT sp.lag, sp.bin, sum(w * p) AS s FROM sp JOIN vh ON vh.lag = sp.lag AND vh.bin = sp.q GROUP BY ALL)"""
+
+
+def _fixed(kernel: list[float]) -> str:
+    half = len(kernel) // 2
+    return f"SELECT lag, o, w FROM tn, (VALUES {', '.join(f'({k - half}, CAST({w!r} AS DOUBLE))' for k, w in enumerate(kernel))}) AS v(o, w)"
+
+
+_SCOTT = """SELECT lag, o, exp(-5e-1 * power(o / sg, 2)) / sum(exp(-5e-1 * power(o / sg, 2))) OVER (PARTITION BY lag) AS w
+FROM (SELECT lag, greatest(1.06e0 * stddev_pop(sqrt(d2)) * power(count(*), -0.2e0) / 100e0, 5e-1) AS sg FROM dp WHERE lag IN (1, 5, 10) GROUP BY lag) AS q, range(-4000, 4001) AS t(o) WHERE abs(o) <= CAST(floor(4e0 * sg + 5e-1) AS BIGINT)"""
+
+
+@query(f"{_vh_conv(_SCOTT)} SELECT sm.lag, sm.bin, r, round(s / (sum(s) OVER (PARTITION BY sm.lag) * 100e0), 9) AS p, n FROM sm JOIN vh ON vh.lag = sm.lag AND vh.bin = sm.bin")
 def van_hove_kde(spark, sf_dir):
-    return C.van_hove_kde(_van_hove(spark, sf_dir), _tracks(spark, sf_dir), 100.0)
+    return C.van_hove_kde(_van_hove(spark, sf_dir), _tracks(spark, sf_dir), 100.0).select("lag", "bin", "r", _r("p", 9).alias("p"), "n")
 
 
-@query()
+@query(
+    f"{_vh_conv(_fixed(B.gaussian(2.0)))}, nb AS (SELECT lag, bin, s, lag(s) OVER w AS lo, lead(s) OVER w AS hi, row_number() OVER (PARTITION BY lag ORDER BY s DESC, bin) AS k FROM sm WINDOW w AS (PARTITION BY lag ORDER BY bin)) "
+    "SELECT lag, round((bin + 0.5e0) * 100e0 + CASE WHEN lo IS NULL OR hi IS NULL OR lo - 2 * s + hi = 0 THEN 0e0 ELSE 0.5e0 * (lo - hi) / (lo - 2 * s + hi) END * 100e0, 4) AS peak FROM nb WHERE k = 1"
+)
 def van_hove_peaks(spark, sf_dir):
-    return C.van_hove_peaks(_van_hove(spark, sf_dir), 100.0)
+    return C.van_hove_peaks(_van_hove(spark, sf_dir), 100.0).select("lag", _r("peak", 4).alias("peak"))
 
 
-@query()
+@query(
+    f"{_vh_conv(_fixed(B.savgol_second(9, 3, 100.0)))}, tp AS (SELECT lag, max(p) AS top FROM vh GROUP BY lag) "
+    "SELECT vh.lag, vh.bin, r, round(p / top, 9) AS p, round(CASE WHEN p >= 5e-2 * top THEN s END * 1e6, 6) AS d2 FROM vh JOIN sm ON sm.lag = vh.lag AND sm.bin = vh.bin JOIN tp ON tp.lag = vh.lag"
+)
 def van_hove_map(spark, sf_dir):
-    return C.van_hove_map(_van_hove(spark, sf_dir), 100.0)
+    found = C.van_hove_map(_van_hove(spark, sf_dir), 100.0)
+    return found.select("lag", "bin", "r", _r("p", 9).alias("p"), _r(F.col("d2") * 1e6).alias("d2"))
 
 
 def _walk_frames(spark, sf_dir) -> DataFrame:
