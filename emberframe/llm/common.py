@@ -35,6 +35,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/emberframe/{name}-{uuid.uuid4().hex}"
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that operators left below the shared folder. For use when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/emberframe")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)

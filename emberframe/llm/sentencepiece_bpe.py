@@ -11,7 +11,8 @@ first, then the leftmost.
 Encoding splits before each run of spaces, since no piece holds a space after another character (a model in which one does
 is rejected), so distinct words are encoded once for a batch, all at once in numpy.
 
-Null texts count as empty. An empty text has no ids besides begin and end. Text of any length is encoded whole.
+Null texts count as empty. An empty text has no ids besides begin and end. Text of any length is encoded whole. Equal texts get
+equal ids, repeated rows each give a row, an empty table gives none. Columns named ids or decoded give way, others are carried along.
 """
 
 from __future__ import annotations

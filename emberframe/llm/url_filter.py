@@ -7,6 +7,7 @@ whose distrust is more than ``THRESHOLD`` of both is blocked where no rule decid
 Links are counted once per pair of hosts before anything is joined, so a hub has one row for each partner, and sums combine before
 the shuffle. After each ``STEPS_A_TABLE`` iterations the ranks are written, which cuts the lineage.
 
+A host whose distrust is just ``THRESHOLD`` of both is allowed. An empty table gives no rows; without seeds, or links, nothing spreads.
 Null urls and urls without ``://`` have an empty host and path; rules never fit an empty host, and it takes no part in the
 graph. Null html has no links. Repeated rows each give a row and a seed. Only the columns asked for are carried along.
 """

@@ -240,3 +240,18 @@ class Ftrl:
             g, n, w = (p - label) * x, self.n.get(k, 0.0), self.weight(k)
             step = ((n + g * g) ** 0.5 - n**0.5) / self.alpha
             self.z[k], self.n[k] = self.z.get(k, 0.0) + g - step * w, n + g * g
+
+
+def page_rank(edges, seeds, damping, rounds):
+    """Personalised PageRank over {(src, dst): n} from {host: weight}; mass at hosts without links is lost."""
+    start = {h: w / sum(seeds.values()) for h, w in seeds.items()}
+    out = Counter()
+    for (a, _), n in edges.items():
+        out[a] += n
+    rank = start
+    for _ in range(rounds):
+        moved = Counter({h: (1 - damping) * w for h, w in start.items()})
+        for (a, b), n in edges.items():
+            moved[b] += damping * rank.get(a, 0.0) * n / out[a]
+        rank = dict(moved)
+    return {h: r for h, r in rank.items() if r}

@@ -335,6 +335,33 @@ def test_trust_flows_along_links_and_distrust_against(spark):
     assert verdicts == {0: "allow", 1: "allow", 2: "block", 3: "block", 4: "allow"}
 
 
+def test_ranks_of_a_random_graph(spark):
+    rng = random.Random(20)
+    hosts = [f"h{i}" for i in range(40)]
+    edges = {(a, b): rng.randint(1, 3) for a in hosts for b in rng.sample(hosts, 3) if a != b}
+    edges |= {(h, "hub"): 2 for h in hosts}
+    trusted, blocked = {"h1": 3, "h2": 1}, {"hub": 1, "h9": 2}
+    found = url_filter.host_scores(
+        spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long"), spark.createDataFrame(list(trusted.items()), "host string, weight long"), spark.createDataFrame(list(blocked.items()), "host string, weight long")
+    )
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in found.collect()}
+    ranks = brute.page_rank(edges, trusted, url_filter.DAMPING, url_filter.ITERATIONS), brute.page_rank({(b, a): n for (a, b), n in edges.items()}, blocked, url_filter.DAMPING, url_filter.ITERATIONS)
+    for host in {*ranks[0], *ranks[1]}:
+        assert got[host] == pytest.approx(tuple(r.get(host, 0.0) for r in ranks), abs=1e-12)
+    # a host whose distrust is just the threshold is allowed: one trusted and one blocked seed on a cycle of two
+    pages = [(0, "http://a.net/de/x", '<a href="http://b.io/">'), (1, "http://b.io/", '<a href="http://c.com/en/x">'), (2, "http://c.com/en/x", "")]
+    judged = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert judged[1]["trust"] == pytest.approx(judged[1]["distrust"]) and judged[1]["verdict"] == "allow"
+
+
+def test_clean_removes_what_operators_left(spark):
+    kept = common.written(spark.range(3), "some")
+    assert kept.count() == 3
+    common.clean(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{common.shared_dir(spark)}/emberframe").count()
+
+
 def test_pruning_keeps_similar_pairs():
     assert jaccard_join.least_matches(15) <= jaccard_join.least_matches(150) < 0.8 * 150
     rng = np.random.default_rng(7)
