@@ -9,12 +9,12 @@ in a frame's bonds; frames whose bonds don't fit a task go through ``iterative_c
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions import geometry as G
-from emberframe.functions.elements import LIGANDS, RADII, formula_of, radius
+from emberframe.functions.elements import LIGANDS, formula_of, radius
 from emberframe.operators.selectors import FRAME
 
 #: Padding of each radius in the neighbour search: by distance rules of molecules, and by those of coordination spheres.
@@ -43,25 +43,28 @@ def _in_cells(df: DataFrame, p: str, own: DataFrame, box: G.Box, spread: bool) -
     return placed.drop("nx", "ny", "nz")
 
 
-def pairs(a: DataFrame, b: DataFrame, frames: DataFrame, *, box: G.Box = G.BOX, carry: tuple[str, ...] = ("element",), cutoff: float | None = None) -> DataFrame:
-    """All pairs of atoms of a and b in one frame, with the nearest image's displacement (dx, dy, dz) from a to b and d; with a cutoff, those with d <= cutoff."""
+def pairs(a: DataFrame, b: DataFrame, frames: DataFrame, *, box: G.Box = G.BOX, carry: tuple[str, ...] = ("element",), cutoff: float | Column | None = None) -> DataFrame:
+    """All pairs of atoms of a and b in one frame, with the nearest image's displacement (dx, dy, dz) from a to b and d; with a cutoff (a number, or a column of frames), those with d <= cutoff."""
     left, right = _sides(a, b, carry)
-    cells = frames.select(FRAME, *box.columns)
+    reach = F.lit(cutoff) if cutoff is None or isinstance(cutoff, (int, float)) else cutoff
+    cells = frames.select(FRAME, *box.columns, reach.cast("double").alias("reach"))
     if cutoff is None or not box.columns:
         both = left.join(right, FRAME).join(cells, FRAME)
     else:
         # cells a little wider than the cutoff: rounding must not part a pair from its neighbour
-        wide = cutoff * (1 + 1e-9) + 1e-12
+        wide = F.col("reach") * (1 + 1e-9) + 1e-12
         own = cells.withColumns({f"n{axis}": F.when(h >= 3 * wide, F.least(F.floor(h / wide), F.lit(1 << 20))).otherwise(1).cast("int") for axis, h in zip("xyz", box.heights())})
-        both = _in_cells(left, "a_", own, box, False).join(_in_cells(right, "b_", own, box, True), [FRAME, "cx", "cy", "cz"]).drop("cx", "cy", "cz")
+        both = _in_cells(left, "a_", own, box, False).join(_in_cells(right, "b_", own, box, True).drop("reach"), [FRAME, "cx", "cy", "cz"]).drop("cx", "cy", "cz")
     away = G.minus(G.vector("b_"), G.vector("a_"))
     if isinstance(box, G.Cell):
+        # an image nearer than half of each height has all its parts below a half, so rounding finds it: no other need be tried
+        near = F.array(F.struct(F.lit(0.0).alias("d2"), *[x.alias(name) for x, name in zip(box.rounded(away), "xyz")]))
         names = both.columns
-        both = both.select(*names, F.inline(box.nearest(away))).toDF(*names, "d2", "dx", "dy", "dz").drop("d2")
+        both = both.select(*names, F.inline(F.when(2 * F.col("reach") <= F.least(*box.heights()), near).otherwise(box.nearest(away)))).toDF(*names, "d2", "dx", "dy", "dz").drop("d2")
     else:
         both = both.withColumns(dict(zip(("dx", "dy", "dz"), box.mic(away))))
     both = both.withColumn("d", G.norm((F.col("dx"), F.col("dy"), F.col("dz"))))
-    return both if cutoff is None else both.filter(F.col("d") <= cutoff)
+    return (both if cutoff is None else both.filter(F.col("d") <= F.col("reach"))).drop("reach")
 
 
 def pairs_within(a: DataFrame, b: DataFrame, frames: DataFrame, cutoff: float, carry: tuple[str, ...] = ("element",), *, box: G.Box = G.BOX) -> DataFrame:
@@ -76,8 +79,9 @@ def bonds(atoms: DataFrame, frames: DataFrame, *, scale: float = 1.0, skin: floa
     if centers:
         own = F.when(F.col("element").isin(centers), F.lit(0.0)).otherwise(own)
     sized = atoms.select(FRAME, "atom_idx", "x", "y", "z", own.alias("radius"))
-    longest = scale * 2 * max(RADII.values()) + 2 * skin
-    near = pairs(sized, sized, frames, box=box, carry=("radius",), cutoff=longest).filter("a_idx < b_idx").filter(F.col("d") < scale * (F.col("a_radius") + F.col("b_radius")) + 2 * skin)
+    # no bond of a frame is longer than one between two of its largest atoms
+    largest = sized.groupBy(FRAME).agg(F.max("radius").alias("largest"))
+    near = pairs(sized, sized, frames.join(largest, FRAME), box=box, carry=("radius",), cutoff=2 * scale * F.col("largest") + 2 * skin).filter("a_idx < b_idx").filter(F.col("d") < scale * (F.col("a_radius") + F.col("b_radius")) + 2 * skin)
     return near.select(FRAME, F.col("a_idx").alias("i"), F.col("b_idx").alias("j"), "d")
 
 
