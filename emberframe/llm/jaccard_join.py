@@ -271,7 +271,7 @@ def _candidate_edges(classes: DataFrame) -> DataFrame:
         moved = np.flatnonzero((label != np.arange(len(pdf))) & (known == np.arange(len(pdf))))
         return pd.DataFrame({"a": pdf["key"].to_numpy()[label[moved]], "b": pdf["key"].to_numpy()[moved]})
 
-    return units.groupBy("bucket", "x", "y").applyInPandas(prune, "a binary, b binary")
+    return units.repartition("bucket", "x", "y").groupBy("bucket", "x", "y").applyInPandas(prune, "a binary, b binary")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -329,7 +329,8 @@ def _verified(docs: DataFrame, text: str, clusters: DataFrame) -> DataFrame:
         first = order[_smallest(len(pdf), rank[i], rank[j])][rank]
         return pd.DataFrame({"key": pdf["key"], "links": links, "first": pdf["key"].to_numpy()[first]})
 
-    return units.groupBy("cluster", "x", "y").applyInPandas(verify, "key binary, links long, first binary")
+    # dealt by blocks: rows that a join left together by cluster would keep a whole cluster in one task
+    return units.repartition("cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(verify, "key binary, links long, first binary")
 
 
 def join(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
