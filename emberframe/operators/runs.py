@@ -40,8 +40,16 @@ def segment(segments: DataFrame, formula: str, number: int) -> tuple[int, int]:
     return row["start"], row["stop"]
 
 
-def segment_frames(frames: DataFrame, segments: DataFrame, formula: str, number: int) -> DataFrame:
-    start, stop = segment(segments, formula, number)
+def segment_frames(frames: DataFrame, segments: DataFrame, formula: str, number: int, *, missing: str = "error") -> DataFrame:
+    """The frames of one segment; where there is no such segment an error, or with missing="empty" no frames."""
+    if missing not in ("error", "empty"):
+        raise ValueError(f"neither error nor empty: {missing!r}")
+    try:
+        start, stop = segment(segments, formula, number)
+    except (ValueError, IndexError):
+        if missing == "error":
+            raise
+        return frames.limit(0)
     return frames.filter((F.col(FRAME) >= start) & (F.col(FRAME) < stop))
 
 

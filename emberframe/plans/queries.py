@@ -542,7 +542,7 @@ def segment_frames(spark, sf_dir):
     segments = _segments(spark, sf_dir)
     first = segments.agg(F.min("formula")).first()[0]
     frames = spark.range(V.SERIES_FRAMES).select(F.col("id").cast("int").alias("frame_id"))
-    return R.segment_frames(frames, segments, first, 3)
+    return R.segment_frames(frames, segments, first, 3, missing="empty")
 
 
 @query(f"WITH {V.sql_track(V.SQL_STATES, 1)} SELECT entity, t, from_state, to_state FROM tr")

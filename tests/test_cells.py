@@ -122,3 +122,21 @@ def test_segment_frames_by_name(spark):
     atoms = spark.createDataFrame([(f, 0, "O", 1.0, 1.0, 1.0) for f in (0, 1, 4, 5, 6)], "frame_id long, atom_idx int, element string, x double, y double, z double")
     t = Trajectory(sources.box_frames(spark, 8, 10.0), atoms)
     assert [r["frame_id"] for r in t.segment_frames("O", -1).orderBy("frame_id").collect()] == [4, 5, 6]
+
+
+def test_segment_frames_of_few_segments(spark, tmp_path):
+    # events in each frame, then in none at all: the query has no frames, as SQL has, and the operator refuses
+    import duckdb
+
+    from emberframe.plans.queries import ORACLE_SQL, QUERIES
+
+    events = spark.range(20).selectExpr("id as event_id", "timestamp_micros(1704067200000000 + id * 600000000) as ts", "id as user_id", "'buy' as event_type")
+    for name, own in (("full", events), ("none", events.limit(0))):
+        own.coalesce(1).write.parquet(str(tmp_path / name / "events.parquet"))
+        found = QUERIES["segment_frames"](spark, str(tmp_path / name))
+        sql = duckdb.connect()
+        sql.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts AT TIME ZONE 'UTC' AS ts) FROM '{tmp_path}/{name}/events.parquet/*.parquet'")
+        assert found.columns == ["frame_id"] and found.count() == 0 and sql.execute(ORACLE_SQL["segment_frames"]).fetchall() == []
+    segments = spark.createDataFrame([("buy", 0, 0, 20)], "formula string, segment int, start int, stop int")
+    with pytest.raises(IndexError):
+        R.segment_frames(spark.range(20).withColumnRenamed("id", "frame_id"), segments, "buy", 3)
