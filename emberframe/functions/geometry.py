@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,11 @@ def norm(a: Vector) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def rint(x: float) -> float:
+    """The nearest whole number, halves to even; numbers that are not finite as they are."""
+    return float(round(x)) if math.isfinite(x) else x
+
+
 class Box:
     """An orthorhombic cell in the columns lx, ly, lz of the frames."""
 
@@ -58,6 +64,15 @@ class Box:
         zero = F.lit(0.0)
         return F.array(*[F.array(*[length.cast("double") if i == k else zero for k in range(3)]) for i, length in enumerate(self.lengths())])
 
+    def numbers(self) -> list[Column]:
+        """The cell as plain numbers, for image()."""
+        return [length.cast("double") for length in self.lengths()]
+
+    @staticmethod
+    def image(d: Sequence[float], cell: Sequence[float]) -> Sequence[float]:
+        """rounded() of plain numbers, with the same operations in the same order; cell as numbers() has it."""
+        return [x - length * rint(x / length) for x, length in zip(d, cell)]
+
     def mic(self, d: Vector) -> Vector:
         """The nearest image: each component less a whole number of lengths, rounded half to even."""
         return tuple(x - length * F.rint(x / length) for x, length in zip(d, self.lengths()))  # type: ignore[return-value]
@@ -105,6 +120,18 @@ class Cell(Box):
     def rounded(self, d: Vector) -> Vector:
         return self._cartesian(tuple(f - F.rint(f) for f in self.fractional(d)))  # type: ignore[arg-type]
 
+    def numbers(self) -> list[Column]:
+        return [x.cast("double") for row in self._rows() for x in row]
+
+    @staticmethod
+    def image(d: Sequence[float], cell: Sequence[float]) -> Sequence[float]:
+        a, b, c = cell[:3], cell[3:6], cell[6:]
+        sides = cross(b, c), cross(c, a), cross(a, b)  # type: ignore[arg-type]
+        det = dot(a, sides[0])  # type: ignore[arg-type]
+        f = [dot(d, side) / det for side in sides]  # type: ignore[arg-type]
+        f = [x - rint(x) for x in f]  # type: ignore[arg-type]
+        return [f[0] * a[k] + f[1] * b[k] + f[2] * c[k] for k in range(3)]  # type: ignore[return-value]
+
     def nearest(self, d: Vector) -> Column:
         """An array of one struct (d2, x, y, z): the nearest image and its squared length, computed once for all uses by inlining the array."""
         # as higher-order functions, since 27 images written out, once for each use of the result, are too much code for a join's condition
@@ -149,6 +176,13 @@ class Open(Box):
     def matrix(self) -> Column:
         return F.array(*[F.array(*[F.lit(0.0)] * 3)] * 3)
 
+    def numbers(self) -> list[Column]:
+        return []
+
+    @staticmethod
+    def image(d: Sequence[float], cell: Sequence[float]) -> Sequence[float]:
+        return d
+
     def mic(self, d: Vector) -> Vector:
         return d
 

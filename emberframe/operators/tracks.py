@@ -1,13 +1,13 @@
 """Tracks of molecules whose numbers change from frame to frame, and positions that do not jump at borders.
 
 Matching from one frame to the next depends on the match before, so it runs inside one task per formula and segment
-(``applyInPandas``); a segment's centres fit a task, 32 bytes each. Everything else is windows.
+(``applyInPandas``); a segment's centres fit a task, 32 bytes each. Paths in cells that change are streamed by entity. Everything else is windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -134,19 +134,44 @@ def unwrap(points: DataFrame, frames: DataFrame, *, entity: str = "atom_idx", bo
 
 
 def unwrap_in_order(points: DataFrame, frames: DataFrame, *, entity: str = "atom_idx", box: G.Box = G.BOX) -> DataFrame:
-    """unwrap for cells that change: each position is the image nearest to the unwrapped one before, folded along the entity's frames inside one row."""
-    own = points.select(entity, FRAME, "x", "y", "z").join(frames.select(FRAME, *box.columns), FRAME)
-    path = own.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(FRAME, "x", "y", "z", *box.columns))).alias("p"))
-    kind = path.schema["p"].dataType.elementType[FRAME].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<frame_id:{kind},x:double,y:double,z:double>>")
-
-    def add(acc: Column, p: Column) -> Column:
-        before = F.get(acc, F.size(acc) - 1)
-        step = type(box)(lambda c: p[c]).rounded(tuple(p[a] - before[a] for a in "xyz"))  # type: ignore[arg-type]
-        near = [F.when(F.size(acc) == 0, p[a]).otherwise(before[a] + d).alias(a) for a, d in zip("xyz", step)]
-        return F.concat(acc, F.array(F.struct(p[FRAME].alias(FRAME), *near)))
+    """unwrap for cells that change: each position is the image nearest to the unwrapped one before, followed along the entity's sorted frames.
 
-    return path.select(entity, F.inline(F.aggregate("p", empty, add)))
+    A task streams through its entities and holds one position, whatever their frames; nulls stay null from the first one on.
+    """
+    import pyarrow as pa
+
+    cell = {f"cell_{i}": c for i, c in enumerate(box.numbers())}
+    own = points.select(entity, FRAME, *[F.col(a).cast("double").alias(a) for a in "xyz"]).join(frames.select(FRAME, *[c.alias(n) for n, c in cell.items()]), FRAME)
+    own = own.select(entity, FRAME, *"xyz", *cell)
+    image, boxed = type(box).image, bool(cell)
+
+    def follow(batches):
+        of, before = None, None
+        for batch in batches:
+            names, values = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[2:]]
+            places = []
+            for name, place, lengths in zip(names, zip(*values[:3]), zip(*values[3:]) if boxed else [()] * batch.num_rows):
+                if before is not None and name == of:
+                    if None in place or None in before or None in lengths:
+                        place = _with_nulls(image, before, place, lengths)
+                    else:
+                        step = image([p - q for p, q in zip(place, before)], lengths)
+                        place = [q + d for q, d in zip(before, step)]
+                of, before = name, place
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([p[k] for p in places], pa.float64()) for k in range(3)]], names=[entity, FRAME, *"xyz"])
+
+    kinds = [own.schema[c].dataType.simpleString() for c in (entity, FRAME)]
+    return own.repartition(entity).sortWithinPartitions(entity, FRAME, *"xyz").mapInArrow(follow, f"`{entity}` {kinds[0]}, `{FRAME}` {kinds[1]}, x double, y double, z double")
+
+
+def _with_nulls(image, before, place, lengths) -> list[float | None]:
+    """The next position where some numbers are missing, as SQL would have it: an axis of a box is null by itself, all axes of another cell are."""
+    if len(lengths) == 9:
+        return [None] * 3
+    if not lengths:
+        return [None if p is None or q is None else q + (p - q) for p, q in zip(place, before)]
+    return [None if None in (p, q, length) else q + image([p - q], [length])[0] for p, q, length in zip(place, before, lengths)]
 
 
 def make_whole(atoms: DataFrame, topo: DataFrame, frames: DataFrame, *, anchors: list[int] | None = None, box: G.Box = G.BOX) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,34 @@ def test_segment_frames_of_few_segments(spark, tmp_path):
     segments = spark.createDataFrame([("buy", 0, 0, 20)], "formula string, segment int, start int, stop int")
     with pytest.raises(IndexError):
         R.segment_frames(spark.range(20).withColumnRenamed("id", "frame_id"), segments, "buy", 3)
+
+
+def test_long_paths_in_changing_cells_take_linear_time(spark):
+    # folded inside one row, 30,000 frames took minutes
+    n = 30_000
+    at = [F.pmod(F.col("frame_id") * 7 * (k + 2) + F.floor(F.col("frame_id") / 11), F.lit(97)).cast("double") / 10 for k in range(3)]
+    frames = spark.range(n).select(F.col("id").alias("frame_id"), *[(F.lit(9.7) + F.pmod(F.col("id") + k, F.lit(5)) / 100).alias(c) for k, c in enumerate(("lx", "ly", "lz"))])
+    points = frames.select("frame_id", F.lit(4).alias("atom_idx"), *[x.alias(a) for a, x in zip("xyz", at)])
+    began = time.time()
+    found = K.unwrap_in_order(points, frames).orderBy("frame_id").collect()
+    assert time.time() - began < 45 and found[0].asDict().keys() == {"atom_idx", "frame_id", "x", "y", "z"} and len(found) == n
+    cells, before = {r["frame_id"]: np.array(r[1:]) for r in frames.collect()}, None
+    for p, r in zip(points.orderBy("frame_id").collect(), found):
+        place = np.array(p[2:])
+        if before is not None:
+            step = place - before
+            place = before + (step - cells[p["frame_id"]] * np.rint(step / cells[p["frame_id"]]))
+        assert r["frame_id"] == p["frame_id"] and tuple(r[2:]) == tuple(place)
+        before = place
+
+
+def test_paths_with_gaps_in_their_numbers(spark):
+    points = spark.createDataFrame([(a, f, None if (a, f) == (0, 1) else (f * 4.0) % 10, 1.0, float("nan") if (a, f) == (1, 1) else 2.0) for a in range(2) for f in range(3)], "atom_idx int, frame_id int, x double, y double, z double")
+    cells = spark.createDataFrame([(f, [[10.0, 0.0, 0.0], [0.0, 10.0, 0.0], [0.0, 0.0, 10.0]]) for f in range(3)], "frame_id int, cell array<array<double>>")
+    boxes = cells.select("frame_id", *[F.lit(10.0).alias(c) for c in G.BOX.columns])
+    box = [tuple(map(str, r[2:])) for r in K.unwrap_in_order(points, boxes).orderBy("atom_idx", "frame_id").collect()]
+    assert box == [("0.0", "1.0", "2.0"), ("None", "1.0", "2.0"), ("None", "1.0", "2.0"), ("0.0", "1.0", "2.0"), ("4.0", "1.0", "nan"), ("8.0", "1.0", "nan")]
+    cell = [tuple(map(str, r[2:])) for r in K.unwrap_in_order(points.filter("atom_idx = 0"), cells, box=G.CELL).orderBy("frame_id").collect()]
+    assert cell == [("0.0", "1.0", "2.0"), ("None",) * 3, ("None",) * 3]
+    free = [r["x"] for r in K.unwrap_in_order(points.filter("atom_idx = 1"), cells, box=G.Open()).orderBy("frame_id").collect()]
+    assert free == [0.0, 4.0, 8.0]
