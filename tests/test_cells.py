@@ -173,3 +173,21 @@ def test_paths_with_gaps_in_their_numbers(spark):
     assert cell == [("0.0", "1.0", "2.0"), ("None",) * 3, ("None",) * 3]
     free = [r["x"] for r in K.unwrap_in_order(points.filter("atom_idx = 1"), cells, box=G.Open()).orderBy("frame_id").collect()]
     assert free == [0.0, 4.0, 8.0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recenter_gathers_no_path_in_one_row(spark, tiny):
+    from emberframe.plans.queries import QUERIES
+
+    plan = plan_of(QUERIES["recenter"](spark, tiny))
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_cluster_around_gathers_no_path_in_one_row(spark, tiny):
+    from emberframe.plans.queries import QUERIES
+
+    plan = plan_of(QUERIES["cluster_around"](spark, tiny))
+    assert "collect_list" not in plan and "MapInArrow" in plan
