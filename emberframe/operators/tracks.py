@@ -1,7 +1,7 @@
 """Tracks of molecules whose numbers change from frame to frame, and positions that do not jump at borders.
 
-Matching from one frame to the next depends on the match before, so it runs inside one task per formula and segment
-(``applyInPandas``); a segment's centres fit a task, 32 bytes each. Paths in cells that change are streamed by entity. Everything else is windows.
+Matching from one frame to the next depends on the match before, so it runs inside one task per formula and segment, and paths in
+cells that change inside one per entity. Such a task streams through its sorted rows and holds the last positions. Everything else is windows.
 """
 
 from __future__ import annotations
@@ -28,43 +28,75 @@ def _nearest(delta: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return delta - np.rint(parts) @ cell
 
 
-def _follow(frames: list[tuple[int, np.ndarray, np.ndarray]], max_step: float | None) -> list[list[tuple[int, np.ndarray]]]:
-    """Tracks of (frame, unwrapped position). Each track in turn takes the nearest centre still free; tracks that get none end, centres left over begin new ones."""
-    live: list[tuple[np.ndarray, list[tuple[int, np.ndarray]]]] = []
-    done = []
-    for frame, centers, cell in frames:
-        free = np.ones(len(centers), dtype=bool)
-        following = []
-        for where, history in live:
-            if free.any():
-                step = _nearest(centers - where, cell)
-                far = np.where(free, (step * step).sum(1), np.inf)
-                j = int(far.argmin())
-                if max_step is None or far[j] <= max_step * max_step:
-                    free[j] = False
-                    history.append((frame, history[-1][1] + step[j]))
-                    following.append((centers[j], history))
-                    continue
-            done.append(history)
-        following += [(centers[j], [(frame, centers[j])]) for j in np.flatnonzero(free)]
-        live = following
-    return [h for h in [*done, *(h for _, h in live)] if len(h) > 1]
+class _Tracks:
+    """The live tracks of one segment: each in turn takes the nearest centre still free; tracks that get none end, centres left over begin new ones. Only their last positions are held."""
+
+    def __init__(self, max_step: float | None):
+        self.max_step, self.live, self.begun = max_step, [], 0
+
+    def step(self, frame, centers: np.ndarray, cell: np.ndarray) -> list[tuple]:
+        """The rows (born, idx, frame, x, y, z) of one frame; a track's first row comes with its second, so tracks of one frame have none."""
+        free, rows, following = np.ones(len(centers), dtype=bool), [], []
+        for where, born, idx, at, since in self.live:
+            if not free.any():
+                break
+            step = _nearest(centers - where, cell)
+            far = np.where(free, (step * step).sum(1), np.inf)
+            j = int(far.argmin())
+            if self.max_step is None or far[j] <= self.max_step * self.max_step:
+                free[j] = False
+                if idx == 0:
+                    rows.append((born, 0, since, *at.tolist()))
+                at = at + step[j]
+                rows.append((born, idx + 1, frame, *at.tolist()))
+                following.append((centers[j], born, idx + 1, at, None))
+        for j in np.flatnonzero(free):
+            following.append((centers[j], self.begun, 0, centers[j], frame))
+            self.begun += 1
+        self.live = following
+        return rows
 
 
 def greedy_tracks(mols: DataFrame, segments: DataFrame, frames: DataFrame, formulas: list[str] | None = None, *, max_step: float | None = None, box: G.Box = G.BOX) -> DataFrame:
-    """formula, segment, track, idx, frame_id, x, y, z: unwrapped centres of molecules followed through each segment. max_step, if given, is the longest step that a track takes."""
-    import pandas as pd
+    """formula, segment, track, idx, frame_id, x, y, z: unwrapped centres of molecules followed through each segment. max_step, if given, is the longest step that a track takes.
+
+    Tracks are numbered in the order of their ends, those that end together in the order of their beginnings.
+    """
+    import pyarrow as pa
 
     own = segments if formulas is None else segments.filter(F.col("formula").isin(formulas))
+    cell = [F.get(F.flatten("cell"), i).alias(f"cell_{i}") for i in range(9)]
     points = mols.select(FRAME, "mol_id", "formula", "cx", "cy", "cz").join(own, "formula").filter((F.col(FRAME) >= F.col("start")) & (F.col(FRAME) < F.col("stop"))).join(frames.select(FRAME, box.matrix().alias("cell")), FRAME)
+    points = points.select("formula", "segment", FRAME, "mol_id", *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "cz")], *cell)
+    kinds = pa.schema([("formula", pa.string()), ("segment", pa.int32()), ("born", pa.int64()), ("idx", pa.int32()), ("frame_id", pa.int64()), *[(a, pa.float64()) for a in "xyz"]])
 
-    def follow(key, pdf):
-        pdf = pdf.sort_values([FRAME, "mol_id"])
-        parts = [(int(f), g[["cx", "cy", "cz"]].to_numpy(dtype=float), np.array([list(row) for row in g["cell"].iat[0]], dtype=float)) for f, g in pdf.groupby(FRAME)]
-        rows = [(key[0], key[1], t, i, f, *map(float, p)) for t, h in enumerate(_follow(parts, max_step)) for i, (f, p) in enumerate(h)]
-        return pd.DataFrame(rows, columns=["formula", "segment", "track", "idx", "frame_id", "x", "y", "z"])
+    def follow(batches):
+        key, tracks, frame, held = None, None, None, []  # held: the numbers of one frame, which batches may cut
+
+        def ended() -> list[tuple]:
+            numbers = np.array(held, dtype=float)
+            return [(*key, *row) for row in tracks.step(frame, numbers[:, :3], numbers[0, 3:].reshape(3, 3))]
 
-    return points.groupBy("formula", "segment").applyInPandas(follow, TRACK_SCHEMA)
+        for batch in batches:
+            found = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for segment, at, numbers in zip(zip(*columns[:2]), columns[2], zip(*columns[4:])):
+                if held and (segment != key or at != frame):
+                    found += ended()
+                    held = []
+                if segment != key:
+                    key, tracks = segment, _Tracks(max_step)
+                frame = at
+                held.append(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], f.type) for k, f in enumerate(kinds)], schema=kinds)
+        if held:
+            found = ended()
+            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    rows = points.repartition("formula", "segment").sortWithinPartitions("formula", "segment", FRAME, "mol_id").mapInArrow(follow, TRACK_SCHEMA.replace("track int", "born long"))
+    rows = rows.withColumn("last", F.max("frame_id").over(W.partitionBy("formula", "segment", "born")))
+    number = F.dense_rank().over(W.partitionBy("formula", "segment").orderBy("last", "born")) - 1
+    return rows.select("formula", "segment", number.cast("int").alias("track"), "idx", "frame_id", "x", "y", "z")
 
 
 def stitch(tracks: DataFrame, mols: DataFrame, segments: DataFrame, frames: DataFrame, formula: str, *, max_gap: int = 50, max_jump: float = 4.0, box: G.Box = G.BOX) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+from itertools import groupby
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberframe.operators import runs as R
 from emberframe.operators import stats as B
@@ -139,3 +142,34 @@ def test_cache_key_and_address(spark, tmp_path):
     T.append_results(per.filter("energy < 0"), str(tmp_path / "r"))
     frames, atoms, _ = tables(spark, [(["O"], [(0, 0, 0)])] * 2)
     assert [r[4] for r in rows(T.attach(frames, atoms, spark.read.parquet(str(tmp_path / "r")))[0])] == [1.5, None]
+
+
+def test_tracks_are_streamed(spark):
+    # ends and beginnings out of order, and more rows than a batch
+    rng = np.random.default_rng(8)
+    many = [(f, m, *map(float, rng.uniform(0, 9, 3))) for f in range(4000) for m in range(2 + int(f % 7 == 3) - int(f % 11 == 5) + 2 * int(f % 13 == 0))]
+    mols = spark.createDataFrame(many, "frame_id long, mol_id int, cx double, cy double, cz double").withColumn("formula", F.lit("W"))
+    frames = spark.range(4000).select(F.col("id").alias("frame_id"), *[(F.lit(9.0) + F.col("id") % 3 / 10).alias(c) for c in ("lx", "ly", "lz")])
+    at = [np.array([list(r[2:]) for r in group]) for _, group in groupby(many, key=lambda r: r[0])]
+    for longest in (None, 3.0):
+        live, done = [], []
+        for f in range(4000):
+            centers = at[f]
+            free, following = np.ones(len(centers), dtype=bool), []
+            for where, history in live:
+                if free.any():
+                    step = centers - where
+                    step = step - (9.0 + f % 3 / 10) * np.rint(step / (9.0 + f % 3 / 10))
+                    far = np.where(free, (step * step).sum(1), np.inf)
+                    j = int(far.argmin())
+                    if longest is None or far[j] <= longest * longest:
+                        free[j] = False
+                        history.append((f, history[-1][1] + step[j]))
+                        following.append((centers[j], history))
+                        continue
+                done.append(history)
+            live = following + [(centers[j], [(f, centers[j])]) for j in np.flatnonzero(free)]
+        want = [h for h in [*done, *(h for _, h in live)] if len(h) > 1]
+        found = K.greedy_tracks(mols, R.lifetime_segments(mols), frames, max_step=longest)
+        assert "MapInPandas" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroups" not in plan
+        assert rows(found) == [("W", 0, t, i, f, *map(float, p)) for t, h in enumerate(want) for i, (f, p) in enumerate(h)]
