@@ -41,33 +41,88 @@ def parse_address(address: str) -> tuple[str, int | None]:
     return (path, int(number)) if at and re.fullmatch(r"-?\d+", number) else (address, None)
 
 
+#: Characters of a file in one row, about; a longer line is a row by itself.
+PIECE = 1024
+
+
+def _batch(rows: list[tuple], schema: str):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    fields = [field.split() for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
 def read_xyz(spark: SparkSession, path: str, max_frames: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms) of extended-XYZ files, frames numbered from 0 through each file in the order of names.
 
     A frame is a count, a line of key=value, and as many atom lines: symbol, position, further columns (kept as extras, null where they are
     no numbers). Frames have their whole lattice as cell; lx, ly, lz are its diagonal, which is all of it in a box only: geometry.cell_of
-    tells. Lines are numbered by one pass of whole files, parsed in parallel by file; many files read in parallel, one file is one task.
+    tells. Blocks of files are read in parallel; each file's pieces, in order, stream through one task, which holds one frame.
     """
 
+    def pack(batches):
+        """Lines to pieces of a block, numbered in order: rows of PIECE characters, so that few rows carry the path."""
+        block, number, lines, size = None, 0, [], 0
+        for batch in batches:
+            found = []
+            for path, start, line in zip(*[c.to_pylist() for c in batch.columns]):
+                if (path, start) != block or size >= PIECE:
+                    if lines:
+                        found.append((*block, number, "\n".join(lines)))
+                    number, lines, size = number + 1 if (path, start) == block else 0, [], 0
+                    block = path, start
+                lines.append(line)
+                size += len(line) + 1
+            yield _batch(found, pieces)
+        if lines:
+            yield _batch([(*block, number, "\n".join(lines))], pieces)
+
     def split(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for name, text in zip(pdf["path"], pdf["value"]):
-                lines, at, number = text.split("\n"), 0, 0
-                while at < len(lines) and lines[at].strip():
-                    n = int(lines[at])
-                    rows.append((name, number, lines[at + 1], "\n".join(lines[at + 2 : at + 2 + n])))
-                    at, number = at + 2 + n, number + 1
-            yield pd.DataFrame(rows, columns=["path", "number", "comment", "body"])
-
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    parts = whole.mapInPandas(split, "path string, number int, comment string, body string")
+        """The sorted pieces of whole files to frames; what is held is the frame that pieces cut."""
+        path, lines, number, over = None, [], 0, False
+
+        def cut(end: bool):
+            nonlocal number, over, lines
+            at = 0
+            while at < len(lines):
+                if not lines[at].strip():
+                    over = True
+                    break
+                n = int(lines[at])
+                if at + 2 + n > len(lines) and not end:
+                    break
+                yield path, number, "".join(lines[at + 1 : at + 2]), "\n".join(lines[at + 2 : at + 2 + n])
+                at, number = at + 2 + n, number + 1
+            lines = [] if over or end else lines[at:]
+
+        for batch in batches:
+            found, size = [], 0
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                if name != path:
+                    found += cut(True)
+                    path, lines, number, over = name, [], 0, False
+                if over:
+                    continue
+                lines += text.split("\n")
+                # a frame longer than a piece is looked at again when all its lines may be there
+                if not lines[0].strip() or len(lines) >= int(lines[0]) + 2:
+                    found += cut(False)
+                size += len(text)
+                if size > 1 << 22:
+                    yield _batch(found, records)
+                    found, size = [], 0
+            yield _batch(found, records)
+        yield _batch(list(cut(True)), records)
+
+    pieces = "path string, block long, piece int, value string"
+    records = "path string, number int, comment string, body string"
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    parts = lines.mapInArrow(pack, pieces).repartition("path").sortWithinPartitions("path", "block", "piece").mapInArrow(split, records)
     sizes = parts.groupBy("path").agg(F.count("*").alias("n"))
-    # a row per file, whose frames before it are a running sum
+    # a row per file, whose frames before it are a running sum: few, as the driver lists the files
     offsets = sizes.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("before"))
-    each = parts.join(offsets, "path").withColumn(FRAME, F.col("number") + F.col("before"))
+    each = parts.join(F.broadcast(offsets), "path").withColumn(FRAME, F.col("number") + F.col("before"))
     if max_frames is not None:
         each = each.filter(F.col(FRAME) < max_frames)
     lattice = F.split(F.regexp_extract("comment", _LATTICE, 1), " ")

@@ -173,3 +173,27 @@ def test_tracks_are_streamed(spark):
         found = K.greedy_tracks(mols, R.lifetime_segments(mols), frames, max_step=longest)
         assert "MapInPandas" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroups" not in plan
         assert rows(found) == [("W", 0, t, i, f, *map(float, p)) for t, h in enumerate(want) for i, (f, p) in enumerate(h)]
+
+
+def test_xyz_files_are_streamed(spark, tmp_path):
+    # frames cut by blocks and pieces, one longer than a piece, comments of any text, a file that ends at a blank line and one without a last newline
+    sizes = {"a.xyz": [3, 400, 1, 7, *[5] * 200], "b.xyz": [2, 90], "c.xyz": [1]}
+    want, number = [], 0
+    for name, counts in sizes.items():
+        text = ""
+        for n in counts:
+            atoms = [("H", n * 0.5, i + 0.25, float(number)) for i in range(n)]
+            comment = {0: "12", 1: "é" * 30}.get(number % 3, 'Lattice="5.0 0.0 0.0 0.0 6.0 0.0 0.0 0.0 7.0"')
+            text += f"{n}\n{comment}\n" + "".join(f"{e} {x} {y} {z}\n" for e, x, y, z in atoms)
+            want += [(number, i, *a, 5.0 if number % 3 == 2 else None) for i, a in enumerate(atoms)]
+            number += 1
+        (tmp_path / name).write_text(text + "\n9\nnot read\n" if name == "b.xyz" else text.rstrip("\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        fr, at = T.read_xyz(spark, str(tmp_path))
+        assert "MapInPandas" not in at._jdf.queryExecution().optimizedPlan().toString()
+        found = sorted(tuple(r) for r in at.join(fr.select("frame_id", "lx"), "frame_id").select("frame_id", "atom_idx", "element", "x", "y", "z", "lx").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted(want)
